@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe
+from lodestrata.llm import bpe, leak, splitting
 from lodestrata.session import table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.found(table(spark, sf_dir, "job_chunks"), table(spark, sf_dir, "split_limits"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {"p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
