@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, leak, splitting
+from lodestrata.llm import bpe, leak, neardup, splitting
 from lodestrata.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.found(table(spark, sf_dir, "job_chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.found(table(spark, sf_dir, "job_chunks"), table(spark, sf_dir, "split_limits"))
 
@@ -23,7 +27,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -131,9 +131,9 @@ def split_rows(long: DataFrame) -> DataFrame:
 def pieces(df: DataFrame, limits: DataFrame, key: str = "id", text: str = "text", kind: str = "chunk_type", path: str = "path") -> DataFrame:
     """All rows as pieces under their path: rows within their limit, or of a kind without one, stay one piece.
 
-    Null and empty texts give no piece; rows delivered again are taken once per id.
+    Null ids, null and empty texts give no piece; rows delivered again are taken once per id.
     """
-    once = df.select(F.col(key).cast("string").alias("id"), F.col(path).alias("path"), F.col(text).alias("text"), F.col(kind).alias("chunk_type")).dropDuplicates(["id"])
+    once = df.select(F.col(key).cast("string").alias("id"), F.col(path).alias("path"), F.col(text).alias("text"), F.col(kind).alias("chunk_type")).where("id is not null").dropDuplicates(["id"])
     cut = split_rows(oversized(once, "id", "text", "chunk_type", limits))
     rest = once.where("text <> ''").join(cut.select("id").distinct(), "id", "left_anti")
     n = F.length("text")
