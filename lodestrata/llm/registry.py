@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, leak, neardup, ocr, spam, splitting
+from lodestrata.llm import bpe, langid, leak, neardup, ocr, spam, splitting
 from lodestrata.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.found(table(spark, sf_dir, "job_chunks"), table(spark, sf_dir, "demo_documents"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.found(table(spark, sf_dir, "job_chunks"))
 
@@ -35,7 +39,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
