@@ -169,6 +169,8 @@ def fit(texts: list[tuple[str, str]]) -> Filters:
 
     Languages that hardly any of their own texts turn out to be in are dropped.
     """
+    if not texts:
+        return Filters([]).seal()
     prepared = []
     for language, text in texts:
         parts = [g for _, g in grams(_codes(text[:SAMPLE_CHARS]))]
