@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.operators import hierarchy, nested
-from lodestrata.session import table
+from lodestrata.plans import retrieval
+from lodestrata.plans.base import ORACLES, QUERIES, Query, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +17,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.found(table(spark, sf_dir, "directory_sections"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found}
+def queries() -> dict[str, Query]:
+    return {"p1_found": p1_found, "p2_found": p2_found} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p2_found(spark, sf_dir)
+    """Lexical discovery of every evaluation question."""
+    return retrieval.discovery(spark, sf_dir)
