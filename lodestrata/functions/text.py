@@ -70,7 +70,7 @@ def unescape_segment(segment: Column) -> Column:
 
 def snippet(text: Column, term: Column, head: int = 60, around: int = 80, tail: int = 40) -> Column:
     """Head, surroundings of the first match and tail, joined by '...'; texts no longer than all three stay whole."""
-    n, at = F.length(text), F.locate_column(term, text) if hasattr(F, "locate_column") else F.instr(F.lower(text), F.lower(term))
+    n, at = F.length(text), F.instr(F.lower(text), F.lower(term))
     a, b = F.greatest(at - around, F.lit(1)), F.least(at + F.length(term) + around, n + 1)
     parts = F.concat_ws(
         "...",

@@ -70,7 +70,7 @@ sql("agg_26_child_titles", "directory_sections", f"SELECT parent_section_id, arr
     f"SELECT parent_section_id, string_agg(coalesce(section_title, ''), ', ' ORDER BY sort_order, section_id) AS titles FROM {S} s WHERE parent_section_id IS NOT NULL GROUP BY parent_section_id")
 sql("agg_25_section_text", "job_chunks", f"SELECT job_result_id, path, length(array_join(transform(array_sort(collect_list(struct(sort_order, id, text))), x -> x.text), '\n')) AS n_chars FROM {C} c WHERE text IS NOT NULL AND chunk_type IN ('text', 'page') GROUP BY job_result_id, path",
     f"SELECT job_result_id, path, length(string_agg(text, chr(10) ORDER BY sort_order, id)) AS n_chars FROM {C} c WHERE text IS NOT NULL AND chunk_type IN ('text', 'page') GROUP BY job_result_id, path")
-sql("agg_27_evidence_groups", "job_chunks", f"SELECT id, dense_rank() OVER (ORDER BY first_at, job_result_id, path) AS evidence, row_number() OVER (PARTITION BY job_result_id, path ORDER BY sort_order, id) AS member FROM (SELECT id, job_result_id, path, sort_order, min(sort_order) OVER (PARTITION BY job_result_id, path) AS first_at FROM {C} c WHERE job_result_id IN (SELECT min(job_result_id) FROM {{job_chunks}})) x")
+sql("agg_27_evidence_groups", "job_chunks", f"SELECT id, dense_rank() OVER (PARTITION BY job_result_id ORDER BY first_at, path) AS evidence, row_number() OVER (PARTITION BY job_result_id, path ORDER BY sort_order, id) AS member FROM (SELECT id, job_result_id, path, sort_order, min(sort_order) OVER (PARTITION BY job_result_id, path) AS first_at FROM {C} c) x")
 sql("agg_29_package_statistics", "job_chunks", f"SELECT job_result_id, count(*) AS total, count(*) FILTER (WHERE chunk_type NOT IN ('image', 'table', 'page') OR chunk_type IS NULL) AS text_chunks, sum(coalesce(length(text), 0)) AS n_chars FROM {C} c GROUP BY job_result_id",
     f"SELECT job_result_id, count(*) AS total, count(*) FILTER (WHERE chunk_type NOT IN ('image', 'table', 'page') OR chunk_type IS NULL) AS text_chunks, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars FROM {C} c GROUP BY job_result_id")
 sql("agg_30_benchmark_stats", "events", "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, round(percentile(value, 0.5), 6) AS p50, round(percentile(value, 0.95), 6) AS p95 FROM {events} GROUP BY event_type",
@@ -97,7 +97,7 @@ sql("win_18_renumber", "job_chunks", f"SELECT id, row_number() OVER (PARTITION B
 
 # top-k and paging
 sql("top_03_nearest_values", "part", "SELECT p_partkey, p_retailprice FROM {part} ORDER BY abs(p_retailprice - 1200), p_partkey LIMIT 20")
-sql("top_05_two_tiers", "events", "SELECT user_id, tier, row_number() OVER (ORDER BY tier, s DESC, user_id) AS position FROM (SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 0 ELSE 1 END AS tier, round(max(value), 6) AS s FROM {events} GROUP BY user_id) x")
+sql("top_05_two_tiers", "events", "SELECT user_id, tier, position FROM (SELECT user_id, tier, row_number() OVER (ORDER BY tier, s DESC, user_id) AS position FROM (SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 0 ELSE 1 END AS tier, round(max(value), 6) AS s FROM {events} GROUP BY user_id) x) y WHERE position <= 100")
 sql("top_06_pages", "jobs", f"SELECT job_id, created_at FROM {J} j ORDER BY created_at DESC, job_id LIMIT 50 OFFSET 50")
 sql("top_07_char_budget", "job_chunks", f"SELECT job_result_id, id FROM (SELECT job_result_id, id, sum(length(text)) OVER (PARTITION BY job_result_id ORDER BY sort_order, id ROWS UNBOUNDED PRECEDING) AS upto FROM {C} c WHERE text IS NOT NULL) x WHERE upto <= 15000")
 sql("top_08_per_group", "events", "SELECT DISTINCT user_id FROM (SELECT user_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM {events}) x WHERE r <= 3")
