@@ -95,3 +95,16 @@ def collapse_single_chains(nodes: DataFrame) -> DataFrame:
     out = nodes.join(now.select(F.col("gone").alias("node")), "node", "left_anti").join(named.select(F.col("keep").alias("node"), "more"), "node", "left").withColumn("title", F.concat_ws(" / ", "title", "more")).drop("more")
     moved = now.select(F.col("gone").alias("parent"), F.col("keep").alias("up"))
     return out.join(moved, "parent", "left").select("node", F.coalesce("up", "parent").alias("parent"), "title")
+
+
+def processing_windows(starts: Column, length_ms: int) -> Column:
+    """Ascending starts in windows (first_ms, n): one ``length_ms`` or more after its window's first opens the next."""
+    kind = "array<struct<first_ms:bigint,n:int>>"
+
+    def step(acc: Column, t: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        opens = (F.size(acc) == 0) | (t - last["first_ms"] >= length_ms)
+        fresh = F.concat(acc, F.array(F.struct(t.alias("first_ms"), F.lit(1).alias("n"))))
+        return F.when(opens, fresh).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["first_ms"].alias("first_ms"), (last["n"] + 1).alias("n")))))
+
+    return F.aggregate(starts, F.array().cast(kind), step)

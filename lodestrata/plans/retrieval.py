@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scoring, text
 from lodestrata.operators import lexical, ranking, vector
 from lodestrata.plans.base import CHUNKS, QUESTIONS, chunks, query, questions, sql_path, sql_tokens, table
+from lodestrata.sources import formats
 
 UNITS = f"units AS (SELECT DISTINCT job_result_id AS revision, {sql_path('path')} AS path, job_result_id || '#' || {sql_path('path')} AS unit_id FROM c)"
 POSTED = f"""c AS (SELECT * FROM {CHUNKS} WHERE job_result_id IS NOT NULL), {UNITS},
@@ -33,6 +34,10 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).where("job_result_id is not null")
 
 
+def _lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.text_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("agg_01_term_frequency", f"WITH {POSTED} SELECT unit_id, channel, token, tf FROM posted")
 def term_frequency(spark, sf_dir):
     return lexical.postings(_chunks(spark, sf_dir)).drop("revision")

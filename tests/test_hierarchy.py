@@ -48,7 +48,7 @@ def random_links(seed, n):
 @pytest.mark.parametrize("bound", [250_000, 30])
 def test_matches_walking_at_any_fragment_size(spark, monkeypatch, bound):
     monkeypatch.setattr(hierarchy, "FRAGMENT_ROWS", bound)
-    links = random_links(bound, 70)
+    links = random_links(bound, 50)
     links = {i: (p or None) for i, p in links.items()}
     got, rows = run(spark, links, place=lambda i: i[:2], again=set(list(links)[:20]))
     assert got == brute(links)
@@ -57,7 +57,7 @@ def test_matches_walking_at_any_fragment_size(spark, monkeypatch, bound):
 
 def test_long_chain_and_long_circle_over_partitions(spark, monkeypatch):
     monkeypatch.setattr(hierarchy, "FRAGMENT_ROWS", 40)
-    links = {f"c{k:03d}": f"c{k - 1:03d}" if k else None for k in range(60)} | {f"r{k:02d}": f"r{(k * 7 + 1) % 30:02d}" for k in range(30)} | {"z1": "r05", "z2": "z1", "s": "s"}
+    links = {f"c{k:03d}": f"c{k - 1:03d}" if k else None for k in range(40)} | {f"r{k:02d}": f"r{(k * 7 + 1) % 20:02d}" for k in range(20)} | {"z1": "r05", "z2": "z1", "s": "s"}
     assert run(spark, links, place=lambda i: str(hash(i) % 5))[0] == brute(links)
 
 
