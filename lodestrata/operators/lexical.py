@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scoring, text
+from lodestrata.session import materialize
 
 CHANNELS = {"path": 1.0, "content": 2.0}
 
@@ -28,6 +29,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     return content.unionByName(path).groupBy("unit_id", "revision", "channel", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def index(chunks: DataFrame) -> DataFrame:
+    """The postings written once: statistics and lookups read the columns they need instead of the texts."""
+    return materialize(postings(chunks), "postings")
+
+
 def unit_lengths(posted: DataFrame) -> DataFrame:
     return posted.groupBy("unit_id", "channel").agg(F.sum("tf").alias("len"))
 
@@ -89,6 +95,6 @@ def min_max(df: DataFrame, score_col: str, out: str, default: float = 0.5) -> Da
 
 def discover(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Lexical discovery of (query_id, query) rows: the k best units of each, with normalised scores."""
-    posted = postings(chunks)
+    posted = index(chunks)
     tokens = queries.select("query_id", F.explode(text.distinct_tokens(F.col("query"))).alias("token"))
     return min_max(top_units(fuse(score(tokens, map_units(chunks), posted)), k), "lex", "discovery_score")

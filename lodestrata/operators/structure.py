@@ -108,3 +108,23 @@ def processing_windows(starts: Column, length_ms: int) -> Column:
         return F.when(opens, fresh).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["first_ms"].alias("first_ms"), (last["n"] + 1).alias("n")))))
 
     return F.aggregate(starts, F.array().cast(kind), step)
+
+
+#: A line of a list of contents: number, title, leader dots, page.
+CONTENTS_LINE = r"^\s*(\d+(?:\.\d+)*)\.?\s+(.*?)\s*\.{3,}\s*(\d+)\s*$"
+
+
+def contents_rows(lines: DataFrame, key: str) -> DataFrame:
+    """(key, line_no, number, level, title, page) of the lines of lists of contents; level is the depth of the number."""
+    part = lambda k: F.regexp_extract("line", CONTENTS_LINE, k)
+    return lines.where(F.col("line").rlike(CONTENTS_LINE)).select(key, "line_no", part(1).alias("number"), F.size(F.split(part(1), r"\.")).alias("level"), part(2).alias("title"), part(3).try_cast("int").alias("page"))
+
+
+def contents_areas(lines: DataFrame, key: str, longest: int = 100) -> DataFrame:
+    """(key, area, first_line, last_line, n): runs of contents lines, blank lines between them allowed, at most ``longest`` each."""
+    w = Window.partitionBy(key).orderBy("line_no")
+    hit = F.col("line").rlike(CONTENTS_LINE)
+    kept = lines.where(hit | (F.trim("line") != "")).withColumn("hit", hit)
+    runs = kept.withColumn("start", F.when(F.col("hit") & ~F.coalesce(F.lag("hit").over(w), F.lit(False)), 1).otherwise(0)).withColumn("run", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("hit")
+    place = runs.withColumn("k", F.floor((F.row_number().over(Window.partitionBy(key, "run").orderBy("line_no")) - 1) / longest))
+    return place.groupBy(key, "run", "k").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count(F.lit(1)).alias("n")).select(key, F.concat_ws(".", "run", "k").alias("area"), "first_line", "last_line", "n")

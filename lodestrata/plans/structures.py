@@ -99,3 +99,18 @@ FROM (SELECT id, text, length(text) AS n, greatest(strpos(lower(text), 'soil sur
 def snippets(spark, sf_dir):
     c = chunks(spark, sf_dir).where("contains(lower(text), 'soil survey')")
     return c.select("id", text.snippet(F.col("text"), F.lit("soil survey")).alias("snippet"))
+
+
+TOC = r"^\s*(\d+(?:\.\d+)*)\.?\s+(.*?)\s*\.{3,}\s*(\d+)\s*$"
+
+
+@query("doc_05_contents_rows", f"SELECT doc_id, line_no, regexp_extract(line, '{TOC}', 1) AS number, len(string_split(regexp_extract(line, '{TOC}', 1), '.')) AS level, regexp_extract(line, '{TOC}', 2) AS title, regexp_extract(line, '{TOC}', 3)::INT AS page FROM {LINES} WHERE regexp_matches(line, '{TOC}')")
+def contents_rows(spark, sf_dir):
+    return structure.contents_rows(_lines(spark, sf_dir), "doc_id")
+
+
+@query("doc_04_contents_areas", f"""WITH l AS (SELECT *, regexp_matches(line, '{TOC}') AS hit FROM {LINES} WHERE trim(line) <> ''), s AS (SELECT *, CASE WHEN hit AND NOT coalesce(lag(hit) OVER (PARTITION BY doc_id ORDER BY line_no), false) THEN 1 ELSE 0 END AS st FROM l),
+r AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM s), k AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no) - 1) // 100 AS k FROM r WHERE hit)
+SELECT doc_id, run || '.' || k AS area, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n FROM k GROUP BY doc_id, run, k""")
+def contents_areas(spark, sf_dir):
+    return structure.contents_areas(_lines(spark, sf_dir), "doc_id")
