@@ -221,3 +221,32 @@ def formula_references(cells: DataFrame) -> DataFrame:
     out = own.select("sheet", "row", "col", "unresolved", F.explode_outer("refs").alias("r")).where("r is not null or unresolved")
     named = F.regexp_replace(F.regexp_extract("r", r"^(.*)!", 1), "^'|'$", "")
     return out.select("sheet", "row", "col", F.when(F.col("r").isNotNull(), F.when(named == "", F.col("sheet")).otherwise(named)).alias("ref_sheet"), F.regexp_replace(F.regexp_replace("r", r"^.*!", ""), r"\$", "").alias("ref"), "unresolved")
+
+
+def render_sheet(cells: pd.DataFrame, merges: list[tuple[int, int, int, int]] = (), header_rows: int = 1, footer_rows: int = 0) -> str:
+    """A region (row, col, value[, formula]) as an HTML table with head, body and foot; merged ranges (r0, c0, r1, c1) as spans."""
+    import html
+
+    if not len(cells):
+        return "<table></table>"
+    value = {(int(r), int(c)): v for r, c, v in zip(cells["row"], cells["col"], cells["value"])}
+    formula = {(int(r), int(c)): f for r, c, f in zip(cells["row"], cells["col"], cells["formula"])} if "formula" in cells else {}
+    r0, r1, c0, c1 = min(r for r, _ in value), max(r for r, _ in value), min(c for _, c in value), max(c for _, c in value)
+    span = {(a, b): (c - a + 1, d - b + 1) for a, b, c, d in merges}
+    hidden = {(r, c) for a, b, x, y in merges for r in range(a, x + 1) for c in range(b, y + 1)} - set(span)
+
+    def row(r: int, tag: str) -> str:
+        out = []
+        for c in range(c0, c1 + 1):
+            if (r, c) in hidden:
+                continue
+            down, right = span.get((r, c), (1, 1))
+            f = formula.get((r, c))
+            attrs = (f' rowspan="{down}"' if down > 1 else "") + (f' colspan="{right}"' if right > 1 else "") + (f' data-formula="{html.escape(f)}"' if isinstance(f, str) and f else "")
+            v = value.get((r, c))
+            out.append(f"<{tag}{attrs}>{html.escape('' if v is None else str(v))}</{tag}>")
+        return "<tr>" + "".join(out) + "</tr>"
+
+    head_end, foot_start = min(r0 + header_rows, r1 + 1), max(r1 + 1 - footer_rows, min(r0 + header_rows, r1 + 1))
+    parts = [("thead", range(r0, head_end), "th"), ("tbody", range(head_end, foot_start), "td"), ("tfoot", range(foot_start, r1 + 1), "td")]
+    return "<table>" + "".join(f"<{p}>" + "".join(row(r, tag) for r in rows) + f"</{p}>" for p, rows, tag in parts if len(rows)) + "</table>"
