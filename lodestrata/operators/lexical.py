@@ -6,6 +6,8 @@ query id, so that N queries are one job. Nothing is collected.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from lodestrata.functions import scoring, text
 from lodestrata.session import materialize
 
 CHANNELS = {"path": 1.0, "content": 2.0}
+#: Most (query, channel, token) rows that are broadcast.
+BROADCAST_TOKENS = 500_000
 
 
 def map_units(chunks: DataFrame) -> DataFrame:
@@ -29,11 +33,6 @@ def postings(chunks: DataFrame) -> DataFrame:
     return content.unionByName(path).groupBy("unit_id", "revision", "channel", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def index(chunks: DataFrame) -> DataFrame:
-    """The postings written once: statistics and lookups read the columns they need instead of the texts."""
-    return materialize(postings(chunks), "postings")
-
-
 def unit_lengths(posted: DataFrame) -> DataFrame:
     return posted.groupBy("unit_id", "channel").agg(F.sum("tf").alias("len"))
 
@@ -55,21 +54,44 @@ def average_idf(units: DataFrame, posted: DataFrame) -> DataFrame:
     return means.groupBy("channel").agg((F.sum(F.col("m") * F.col("n_r")) / F.sum("n_r")).alias("avg_idf"))
 
 
-def score(query_tokens: DataFrame, units: DataFrame, posted: DataFrame) -> DataFrame:
-    """(query_id, unit_id, channel, score) of units with a query token; query_tokens (query_id, token) are distinct."""
-    lengths = unit_lengths(posted)
-    hits = posted.join(query_tokens, "token")
+@dataclass
+class Index:
+    """What queries read: units, postings with their unit's length, token frequencies, and statistics of the channels (two rows)."""
+
+    units: DataFrame
+    postings: DataFrame
+    vocabulary: DataFrame
+    stats: DataFrame
+
+
+def build_index(chunks: DataFrame) -> Index:
+    """The index of chunks, written once; texts are read and statistics worked out here only."""
+    units = materialize(map_units(chunks), "units")
+    # lengths come from the sizes of the token arrays: summing them is cheaper than building the postings twice
+    lengths = chunks.select(F.concat_ws("#", "job_result_id", text.normal_path(F.col("path"))).alias("unit_id"), F.lit("content").alias("channel"), F.size(text.tokens(F.col("text"))).alias("n"))
+    lengths = lengths.unionByName(units.select("unit_id", F.lit("path").alias("channel"), F.size(text.tokens(F.col("path"))).alias("n")))
+    lengths = materialize(lengths.groupBy("unit_id", "channel").agg(F.sum("n").alias("len")).where("len > 0"), "lengths")
+    posted = materialize(postings(chunks).join(lengths, ["unit_id", "channel"]), "postings")
+    stats = materialize(channel_stats(lengths).join(average_idf(units, posted), "channel"), "stats")
+    return Index(units, posted, materialize(document_frequency(posted), "vocabulary"), stats)
+
+
+def score(query_tokens: DataFrame, index: Index) -> DataFrame:
+    """(query_id, unit_id, channel, score) of units with a query token; query_tokens (query_id, token) are distinct.
+
+    Query tokens and their weights are broadcast up to ``BROADCAST_TOKENS`` rows; postings are then read in place and
+    only scores are shuffled. Beyond, the join shuffles.
+    """
     idfs = (
-        document_frequency(posted.join(query_tokens.select("token").distinct(), "token", "left_semi"))
-        .join(channel_stats(lengths), "channel")
-        .join(average_idf(units, posted), "channel")
+        index.vocabulary.join(query_tokens.select("token").distinct(), "token", "left_semi").join(F.broadcast(index.stats), "channel")
         .withColumn("idf0", scoring.idf(F.col("n"), F.col("df")))
         .select("channel", "token", "avg_len", F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(scoring.IDF_FLOOR * F.col("avg_idf")).alias("idf"))
-    )
-    return (
-        hits.join(idfs, ["channel", "token"]).join(lengths, ["unit_id", "channel"])
-        .groupBy("query_id", "unit_id", "channel").agg(F.sum(scoring.bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len"))).alias("score"))
     )
+    wanted = materialize(query_tokens.join(idfs, "token"), "query-tokens")
+    if wanted.count() <= BROADCAST_TOKENS:
+        wanted = F.broadcast(wanted)
+    hits = index.postings.join(wanted, ["channel", "token"])
+    return hits.groupBy("query_id", "unit_id", "channel").agg(F.sum(scoring.bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len"))).alias("score"))
 
 
 def fuse(scored: DataFrame) -> DataFrame:
@@ -95,6 +117,5 @@ def min_max(df: DataFrame, score_col: str, out: str, default: float = 0.5) -> Da
 
 def discover(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Lexical discovery of (query_id, query) rows: the k best units of each, with normalised scores."""
-    posted = index(chunks)
     tokens = queries.select("query_id", F.explode(text.distinct_tokens(F.col("query"))).alias("token"))
-    return min_max(top_units(fuse(score(tokens, map_units(chunks), posted)), k), "lex", "discovery_score")
+    return min_max(top_units(fuse(score(tokens, build_index(chunks))), k), "lex", "discovery_score")

@@ -140,4 +140,4 @@ def channel_ranks(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     tokens = questions(spark, sf_dir).select("query_id", F.explode(text.distinct_tokens(F.col("query"))).alias("token"))
     w = Window.partitionBy("query_id", "channel").orderBy(F.desc(F.round("score", 9)), "unit_id")
-    return lexical.score(tokens, lexical.map_units(c), lexical.index(c)).where("score > 0").withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", "channel", "unit_id", "r")
+    return lexical.score(tokens, lexical.build_index(c)).where("score > 0").withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", "channel", "unit_id", "r")

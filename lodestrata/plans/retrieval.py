@@ -56,7 +56,7 @@ def channel_stats(spark, sf_dir):
 @query("agg_04_05_average_idf", f"WITH {POSTED} SELECT channel, round(avg_idf, 6) AS avg_idf FROM avg_idf")
 def average_idf(spark, sf_dir):
     c = _chunks(spark, sf_dir)
-    return lexical.average_idf(lexical.map_units(c), lexical.index(c)).select("channel", F.round("avg_idf", 6).alias("avg_idf"))
+    return lexical.build_index(c).stats.select("channel", F.round("avg_idf", 6).alias("avg_idf"))
 
 
 @query("cor_20_map_units", f"WITH c AS (SELECT * FROM {CHUNKS} WHERE job_result_id IS NOT NULL), {UNITS} SELECT unit_id, revision, path FROM units")
@@ -74,7 +74,7 @@ def discovery(spark, sf_dir):
 def bm25_scores(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     tokens = questions(spark, sf_dir).select("query_id", F.explode(text.distinct_tokens(F.col("query"))).alias("token"))
-    return lexical.score(tokens, lexical.map_units(c), lexical.index(c)).withColumn("score", F.round("score", 6))
+    return lexical.score(tokens, lexical.build_index(c)).withColumn("score", F.round("score", 6))
 
 
 @query("jop_units_to_chunks", SCORED + f""" SELECT query_id, rank, id, row_number() OVER (PARTITION BY query_id ORDER BY rank, sort_order, chunk_id, id) AS row_no
