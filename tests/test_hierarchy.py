@@ -48,7 +48,7 @@ def random_links(seed, n):
 @pytest.mark.parametrize("bound", [250_000, 30])
 def test_matches_walking_at_any_fragment_size(spark, monkeypatch, bound):
     monkeypatch.setattr(hierarchy, "FRAGMENT_ROWS", bound)
-    links = random_links(bound, 50)
+    links = random_links(bound, 40)
     links = {i: (p or None) for i, p in links.items()}
     got, rows = run(spark, links, place=lambda i: i[:2], again=set(list(links)[:20]))
     assert got == brute(links)
@@ -56,14 +56,14 @@ def test_matches_walking_at_any_fragment_size(spark, monkeypatch, bound):
 
 
 def test_long_chain_and_long_circle_over_partitions(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "FRAGMENT_ROWS", 40)
-    links = {f"c{k:03d}": f"c{k - 1:03d}" if k else None for k in range(40)} | {f"r{k:02d}": f"r{(k * 7 + 1) % 20:02d}" for k in range(20)} | {"z1": "r05", "z2": "z1", "s": "s"}
+    monkeypatch.setattr(hierarchy, "FRAGMENT_ROWS", 30)
+    links = {f"c{k:03d}": f"c{k - 1:03d}" if k else None for k in range(24)} | {f"r{k:02d}": f"r{(k * 7 + 1) % 12:02d}" for k in range(12)} | {"z1": "r05", "z2": "z1", "s": "s"}
     assert run(spark, links, place=lambda i: str(hash(i) % 5))[0] == brute(links)
 
 
 def test_star_with_many_children(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "FRAGMENT_ROWS", 25)
-    links = {"hub": None} | {f"k{k:03d}": "hub" for k in range(100)} | {f"l{k:03d}": f"k{k:03d}" for k in range(50)}
+    monkeypatch.setattr(hierarchy, "FRAGMENT_ROWS", 30)
+    links = {"hub": None} | {f"k{k:03d}": "hub" for k in range(30)} | {f"l{k:03d}": f"k{k:03d}" for k in range(8)}
     assert run(spark, links, place=lambda i: i[1:])[0] == brute(links)
 
 
@@ -78,3 +78,11 @@ def test_descendants(spark):
     df = spark.createDataFrame([(i, p, i, "x", 0, T0) for i, p in [("a", None), ("b", "a"), ("c", "b"), ("q", "q")]], SCHEMA)
     pairs = hierarchy.descendants(hierarchy.resolve(df, "id", "parent", "title", "place", "ord", "t")).collect()
     assert {tuple(r) for r in pairs} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+def test_contraction_by_coins(spark):
+    links = {f"c{k:02d}": f"c{k - 1:02d}" if k else None for k in range(14)} | {f"r{k}": f"r{(k + 1) % 6}" for k in range(6)} | {"t1": "r2", "t2": "t1", "b": "c03"}
+    edges = spark.createDataFrame([(i, p, 1, i, [i], [i], 1, "x") for i, p in links.items()], hierarchy._EDGE)
+    got = {r.id: (r.circle or r.root, r.depth, None if r.circle else (r.root, *r.ids), -1 if r.circle else r.below - 1) for r in hierarchy.solve(edges, 2, len(links), coins=True).collect()}
+    want = brute(links)
+    assert {i: (a, None if c is None else b, c, d) for i, (a, b, c, d) in got.items()} == {i: (a, None if c is None else b, c, d) for i, (a, b, c, d) in want.items()}
