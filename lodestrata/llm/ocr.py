@@ -45,6 +45,20 @@ MAYBE_WRAPPED = r"[^\n.!?。！？:;|]\n+(?:[^\n]*\n+){0,3}?[a-zà-ÿ]"
 _EVIDENCE = re.compile(r"(?:[\w,]|[-­‐]\s?)\n(?=[a-zà-ÿ])")
 
 
+def scanned(text: str) -> bool:
+    """Whether anything tells of wraps or furniture: a wrap, a hyphen at a line end, a number's line, or a lower-case start after an open line.
+
+    Blank lines and blanks at line ends don't matter.
+    """
+    if _EVIDENCE.search(text):
+        return True
+    lines = [x for line in text.splitlines() if (x := line.strip())]
+    return any(
+        a[-1] in HYPHENS and len(a) > 1 and a[-2].isalnum() or b[0].islower() and not _TERMINAL.search(a) or any(_NUMBER_LINE.match(x) and any(map(str.isdigit, x)) for x in (a, b))
+        for a, b in zip(lines, lines[1:])
+    )
+
+
 def observe(lines: list[str]) -> list[tuple | None]:
     """Layout features of each line, None for blank ones: form, end, start, room left, gap before, bridge over, blank neighbours."""
     text = [x.strip() for x in lines]
@@ -236,7 +250,7 @@ class Repair:
         """The repaired text and the (kind, item) found in it."""
         items: list[tuple[str, str]] = []
         lines = text.splitlines()
-        if len(lines) < 2 or not _EVIDENCE.search(text):
+        if len(lines) < 2 or not scanned(text):
             # no wrapped lines, so no furniture to tell from them; words may be misread all the same
             return self._words(text, items), items
         labels = self.model.label(observe(lines))
