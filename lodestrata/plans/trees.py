@@ -104,6 +104,12 @@ def components(spark, sf_dir):
     return graphs.components(e)
 
 
+@query("tab_08_all_components")
+def all_components(spark, sf_dir):
+    """Over every edge of lineitem; without SQL, as the recursive statement above is affordable on few edges only."""
+    return graphs.components(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")))
+
+
 @query("set_03_set_operations", "SELECT a.o_custkey, list_sort(list_intersect(a.p, b.p)) AS shared, list_sort(list_distinct(list_concat(a.p, b.p))) AS either FROM (SELECT o_custkey, list(DISTINCT o_orderpriority) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a JOIN (SELECT o_custkey, list(DISTINCT o_orderpriority) AS p FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b USING (o_custkey)")
 def set_operations(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
