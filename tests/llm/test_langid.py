@@ -74,3 +74,60 @@ def test_table(spark, filters):
     got = {tuple(r) for r in L.found(chunks, titles).collect()}
     assert got == {("job_chunks", "none", "de"), ("job_chunks", "odd", "en"), ("job_chunks", "wrong", "pt"), ("job_chunks", "mixed", "es"), ("job_chunks", "mixed", "zh"), ("job_chunks", "long", "de"), ("demo_documents", "d1", "en")}
     assert L.found(chunks.limit(0), titles.limit(0)).count() == 0
+
+
+def corpus(rng, size, decoy):
+    """Texts of all languages, skewed, and a label that only ever stands on Chinese ones."""
+    rows = [(x, "".join(say(rng, x) for _ in range(4))) for x, n in zip(WORDS, (8, 4, 2, 2, 3)) for _ in range(n * size)]
+    return rows + [("ja", "".join(say(rng, "zh") for _ in range(4))) for _ in range(decoy)]
+
+
+def found_share(filters):
+    rng = random.Random(9)
+    texts = [(x, "".join(say(rng, x) for _ in range(4))) for x in WORDS for _ in range(60)]
+    got = [L.label(filters, [t], False)[0] for _, t in texts]
+    return sum([s[2] for s in g] == [x] for g, (x, _) in zip(got, texts)) / len(texts)
+
+
+def test_a_label_as_large_in_the_sample_as_the_language_it_stands_on():
+    rng = random.Random(7)
+    rows = corpus(rng, 40, 120)  # as many texts as zh has
+    filters = L.fit(rows, {"en": 80_000, "de": 40_000, "es": 20_000, "pt": 20_000, "zh": 30_000, "ja": 900})
+    assert filters.languages == sorted(WORDS)
+    assert found_share(filters) >= 0.98
+
+
+def test_same_recall_at_two_sizes():
+    small, large = L.fit(corpus(random.Random(5), 8, 2)), L.fit(corpus(random.Random(6), 80, 20))
+    assert small.languages == large.languages == sorted(WORDS)
+    assert min(found_share(small), found_share(large)) >= 0.95
+
+
+def test_result_does_not_depend_on_neighbours(filters, monkeypatch):
+    monkeypatch.setattr(L, "LONGEST", 150)
+    rng = random.Random(8)
+    texts = ["".join(say(rng, rng.choice(list(WORDS))) for _ in range(rng.randrange(1, 9))).replace(". ", " ") for _ in range(60)]
+    assert L.label(filters, texts, False) == [L.label(filters, [t], False)[0] for t in texts]
+
+
+def test_short_sentences_and_characters_beyond_the_basic_plane(filters):
+    text = say(random.Random(3), "de") * 3 + "The report shows their office. " + "\U00020000\U0001f600 " + say(random.Random(4), "de") * 3 + "İ"
+    segments = L.label(filters, [text], False)[0]
+    assert [s[2] for s in segments] == ["de", "en", "de"] and segments[-1][1] == len(text)
+    assert text[segments[1][0] : segments[1][1]].strip().startswith("The report")
+
+
+def test_more_languages_than_a_table_holds():
+    rng = random.Random(11)
+    names = [a + b for a in "abcdef" for b in "xyz"] + ["qq", "rr", "ss"]
+    words = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for x in names}
+    make = lambda x: " ".join(rng.choice(words[x]) for _ in range(40)) + "."
+    filters = L.fit([(x, make(x)) for x in names for _ in range(12)])
+    assert filters.languages == sorted(names)
+    assert all(L.label(filters, [make(x)], False)[0][0][2] == x for x in names)
+
+
+def test_notations(spark):
+    told = ["en_GB", "German", "deutsch", "fra", "fre", "中文", "xx", "Elvish", "", None, " NL ", "ita", "Japanisch"]
+    got = L.with_declared(spark.createDataFrame([(x,) for x in told], "lang string"))
+    assert {r.lang: r.declared for r in got.collect()} == dict(zip(told, ["en", "de", "de", "fr", "fr", "zh", None, None, None, None, "nl", "it", "ja"]))
