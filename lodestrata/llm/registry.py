@@ -22,6 +22,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.found(table(spark, sf_dir, "job_chunks"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's class of equal texts and its number of near classes, by five-word sequences and 0.8."""
+    return neardup.classes(table(spark, sf_dir, "job_chunks"), "id", "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.found(table(spark, sf_dir, "job_chunks"), table(spark, sf_dir, "split_limits"))
 
@@ -39,7 +44,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 #: Ends are marked behind their mark, then the text is split at them; a stretch counts without white space around it.
