@@ -75,3 +75,40 @@ def test_similar_runs_below_full_similarity(spark):
     items = spark.createDataFrame([(7, " ".join(words))], "i bigint, t string")
     got = leak.leaks(docs, "d", "t", items, "i", "t", window=30, radius=16, least=0.8).collect()
     assert [(r.doc, r.item) for r in got] == [(1, 7)] and 0.8 <= got[0].similarity < 1
+
+
+def test_rows_come_from_verified_similarity(spark, monkeypatch):
+    docs, items = corpus(6)
+    keys, lists = [d for d, t in docs if t], [leak.words_of(t) for _, t in docs if t]
+    indexes = leak.item_indexes(items, 12, 3)
+    assert [x.window for x in indexes][:3] == [12, 23, 45] and sum(len(x.ids) for x in indexes[1:]) == sum(len(leak.words_of(t)) > 22 for _, t in items)
+    search = lambda: {(d, i) for d, i, _, n in leak._search(indexes, leak._Hashes(), keys, lists, 0.8) if n >= 12}
+    assert search() == brute(docs, items, 12)  # all pairs of the exact join
+    monkeypatch.setattr(leak.ItemIndex, "similarity", lambda *a: 0.0)
+    assert search() == set()
+
+
+def test_full_buckets_are_expanded_in_parts(monkeypatch):
+    phrase = " ".join(f"s{k}" for k in range(12))
+    index = leak.ItemIndex([(k, phrase) for k in range(300)], 12, 3)
+    want = index.near(np.repeat(index.prints[:1], 50))
+    monkeypatch.setattr(leak, "EXPANDED", 100)
+    got = index.near(np.repeat(index.prints[:1], 50))
+    assert len(want[0]) == 15_000 and all((a == b).all() for a, b in zip(want, got))
+
+
+def test_items_that_leak_as_a_whole_with_changes(spark):
+    words = [f"t{k}" for k in range(60)]
+    changed = [w if k % 11 else f"other{k}" for k, w in enumerate(words)]  # never twelve in a row
+    docs = spark.createDataFrame([(1, " ".join(changed))], "d bigint, t string")
+    items = spark.createDataFrame([(7, " ".join(words))], "i bigint, t string")
+    got = leak.leaks(docs, "d", "t", items, "i", "t", radius=16, least=0.6).collect()
+    assert [(r.doc, r.item) for r in got] == [(1, 7)] and got[0].words < 12 and 0.6 <= got[0].similarity < 1
+
+
+@pytest.mark.parametrize("n", [3, 11])
+def test_doubled_windows(n):
+    h = np.random.default_rng(n).integers(0, 2**63, 100, np.uint64)
+    two = leak.doubled(leak.counters(h, n), n)
+    assert leak.majority(two, 2 * n).tolist() == leak.simhash(h, 2 * n).tolist()
+    assert leak.majority(leak.doubled(two, 2 * n), 4 * n).tolist() == leak.simhash(h, 4 * n).tolist()
