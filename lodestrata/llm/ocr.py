@@ -18,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import materialize
+
 #: Texts the line model is fitted on, taken by a hash of their id, and rounds of fitting.
 TRAIN_TEXTS, ROUNDS = 1_500, 4
-#: Words of the lexicon at most (the most frequent ones), and the least count of one.
-LEXICON_WORDS, LEAST_COUNT = 300_000, 5
+#: The least count of a word of the lexicon. A lexicon of up to so many characters is broadcast; of a larger one every group of texts gets the words it asks for, by a join.
+LEAST_COUNT, LEXICON_CHARS = 5, 20_000_000
+#: Characters of the texts of such a group, about.
+GROUP_CHARS = 16_000_000
 #: A word is misread if a word it may be misread from is so many times as frequent.
 RATIO = 15
 #: What is read for what in words (fixed values: common confusions of recognised characters).
@@ -300,64 +304,140 @@ class Repair:
         return "".join(out)
 
 
-def lexicon_of(rows: DataFrame) -> dict[str, int]:
-    """Counts of the most frequent words of all texts (column ``text``), at most ``LEXICON_WORDS``."""
+class _Asked(dict):
+    """An empty lexicon that keeps what is looked up."""
+
+    def get(self, word: str, default: int = 0) -> int:
+        self[word] = default
+        return default
+
+
+class _Asking(Repair):
+    """Looks up all that mending a text may look up, whatever the lexicon would answer: without answers no way ends early."""
+
+    def __init__(self, model: LineModel):
+        super().__init__(model, _Asked())
+
+    def joined(self, left: str, right: str) -> tuple[str, str] | None:
+        head, mark = left.rstrip()[:-1], left.rstrip()[-1]
+        for whole in (head + right, f"{head}-{right}"):
+            self.right(whole)
+            correction(bare(whole).lower(), self.lexicon)
+        a, b = bare(head).lower(), bare(right).lower()
+        for whole in (a + b, f"{a}-{b}"):
+            self.lexicon.get(whole)
+            correction(whole, self.lexicon)
+        self.right(right)
+        return super().joined(left, right) if mark in HYPHENS else None
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n) of all words of all texts (column ``text``) in lower case that come ``LEAST_COUNT`` times at least."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw: Counter = Counter()
+        chars = 0
 
         def send() -> pa.RecordBatch:
             clean: Counter = Counter()
             for w, n in raw.items():
-                if (b := bare(w)) and len(b) <= 60:
+                if b := bare(w):
                     clean[b] += n
             return pa.RecordBatch.from_arrays([pa.array(list(clean)), pa.array(list(clean.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 raw.update(text.lower().split())
-            if len(raw) > 300_000:
-                yield send()
-                raw.clear()
+                chars += len(text)
+                if len(raw) > 300_000 or chars > 64_000_000:
+                    yield send()
+                    raw.clear()
+                    chars = 0
         if raw:
             yield send()
 
-    words = rows.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    return {r.word: r.n for r in words.orderBy(F.desc("n"), "word").limit(LEXICON_WORDS).collect()}
+    return rows.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
 def line_model(rows: DataFrame) -> LineModel:
-    """The model fitted on a bounded sample of texts that may be wrapped (columns ``id``, ``text``)."""
-    # ids first, so that tasks send no texts they aren't asked for
-    wrapped = rows.where(F.col("text").rlike(MAYBE_WRAPPED))
-    ids = [r.id for r in wrapped.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(TRAIN_TEXTS).collect()]
+    """The model fitted on a bounded sample of texts that may be wrapped (columns ``id``, ``text``), those of the smallest hashes of their ids."""
+    # the hash first, so that few texts are tested, and then ids, so that tasks send no texts they aren't asked for
+    every, share = rows.count(), 1 << 20
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(share)))
+    ids: list = []
+    for bound in dict.fromkeys((min(share, math.ceil(share * TRAIN_TEXTS * 20 / max(1, every))), share)):
+        wrapped = hashed.where((F.col("h") < bound) & F.col("text").rlike(MAYBE_WRAPPED))
+        ids = [r.id for r in wrapped.select("id", "h").distinct().orderBy("h", "id").limit(TRAIN_TEXTS).collect()]
+        if len(ids) == TRAIN_TEXTS:
+            break
     sample = sorted(rows.where(F.col("id").isin(ids)).distinct().collect()) if ids else []
     texts = [r.text for r in sample if _EVIDENCE.search(r.text)]
     return LineModel().fit(texts) if texts else LineModel()
 
 
+REPAIRED = "id string, text string, items array<struct<kind:string,item:string>>"
+
+
+def _mended(repair: Repair, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    out, items = [], []
+    for t in texts:
+        mended, found = repair.text(t)
+        out.append(mended)
+        items.append([{"kind": k, "item": i} for k, i in dict.fromkeys(found)])
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("item", pa.string())]))
+    return pa.RecordBatch.from_arrays([ids, pa.array(out, pa.string()), pa.array(items, kind)], names=["id", "text", "items"])
+
+
 def repaired(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, text, items array<struct<kind, item>>) of every row with an id and a text that isn't blank.
 
     Kinds: hyphenation, misread, running_header and page_number. Rows delivered
     again stay; an empty table gives an empty result. Whole texts, no shuffle of
-    texts: the lexicon (bounded) and the model are broadcast.
+    texts while the lexicon fits into ``LEXICON_CHARS`` and is broadcast. Beyond, texts
+    go into groups, and each group gets the counts of just the words it may look up; the result is the same.
     """
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"(?U)\S"))
-    shared = df.sparkSession.sparkContext.broadcast((line_model(rows), lexicon_of(rows)))
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("item", pa.string())]))
+    model = df.sparkSession.sparkContext.broadcast(line_model(rows))
+    counts = materialize(word_counts(rows), "words")
+    size = counts.agg(F.sum(F.length("word") + 1).alias("chars")).first().chars or 0
+    if size > LEXICON_CHARS:
+        return _by_groups(rows, counts, model)
+    lexicon = df.sparkSession.sparkContext.broadcast({r.word: r.n for r in counts.collect()})  # LEXICON_CHARS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repair = Repair(*shared.value)
+        repair = Repair(model.value, lexicon.value)
+        for batch in batches:
+            yield _mended(repair, batch.column(0), batch.column(1).to_pylist())
+
+    return rows.mapInArrow(run, REPAIRED)
+
+
+def _by_groups(rows: DataFrame, counts: DataFrame, model) -> DataFrame:
+    chars = rows.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    # by id and text, so that neither an id nor a source makes a group large
+    grouped = rows.withColumn("g", F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(chars // GROUP_CHARS + 1)))
+    grouped = materialize(grouped, "texts")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, items = [], []
-            for t in batch.column(1).to_pylist():
-                mended, found = repair.text(t)
-                texts.append(mended)
-                items.append([{"kind": k, "item": i} for k, i in dict.fromkeys(found)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(items, kind)], names=["id", "text", "items"])
-
-    return rows.mapInArrow(run, "id string, text string, items array<struct<kind:string,item:string>>")
+            asked: dict[int, dict] = {}
+            asking = _Asking(model.value)
+            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                asking.lexicon = asked.setdefault(g, _Asked())
+                asking.memo.clear()
+                asking.text(t)
+            pairs = [(g, w) for g, ws in asked.items() for w in ws]
+            if pairs:
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string())], names=["g", "word"])
+
+    own = grouped.select("g", "text").mapInArrow(ask, "g bigint, word string").distinct().join(counts, "word").select("g", "word", "n")
+
+    def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+        repair = Repair(model.value, dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist())))
+        return pa.Table.from_batches([_mended(repair, texts.column("id").combine_chunks(), texts.column("text").to_pylist())])
+
+    return grouped.groupBy("g").cogroup(own.groupBy("g")).applyInArrow(run, REPAIRED)
 
 
 def found(chunks: DataFrame) -> DataFrame:
