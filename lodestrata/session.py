@@ -28,29 +28,45 @@ def build_session(app: str = "lodestrata", cores: str = "*", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """Folder all executors can reach: spark.checkpoint.dir; in local mode (tests) a temporary one where that is unset.
+
+    Raises ``ValueError`` on a cluster without it: a folder of the driver's machine would lose what executors write.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lodestrata-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
     The result has no lineage, survives the loss of executors, can be scanned
     several times at the cost of reading only the columns used, and is removed
-    when the driver exits.
+    by ``release`` or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(path)
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove what ``materialize`` wrote. For long sessions, once the results built on it are written or collected."""
+    while _written:
+        _drop(spark, _written.pop())
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
