@@ -12,9 +12,15 @@ SLASH, SLASH_STAND_IN = "/", "∕"
 
 
 def tokens(text: Column) -> Column:
-    """Retrieval tokens: lower-case runs of letters and digits of two characters or more with an ASCII letter, digit or CJK character; null gives none."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    return F.filter(runs, lambda x: (F.length(x) >= 2) & x.rlike(r"[a-z0-9一-鿿]"))
+    """Retrieval tokens, null gives none: chunk references are left out, text is lower-cased and cut into runs of CJK characters and
+    runs of other letters and digits. Runs of two characters or more with an ASCII letter, digit or CJK character count;
+    of a CJK run each pair of neighbouring characters is a token, as there are no spaces to tell its words.
+    """
+    low = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), CHUNK_REF, " "))
+    runs = F.regexp_extract_all(F.regexp_replace(low, "([一-鿿]+)", " $1 "), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    kept = F.filter(runs, lambda x: (F.length(x) >= 2) & x.rlike(r"[a-z0-9一-鿿]"))
+    pairs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
+    return F.flatten(F.transform(kept, lambda x: F.when(x.rlike("^[一-鿿]"), pairs(x)).otherwise(F.array(x))))
 
 
 def distinct_tokens(text: Column) -> Column:

@@ -16,7 +16,7 @@ from lodestrata.session import materialize
 
 CHANNELS = {"path": 1.0, "content": 2.0}
 #: Most (query, channel, token) rows that are broadcast.
-BROADCAST_TOKENS = 500_000
+BROADCAST_TOKENS, PUSHED_TOKENS = 500_000, 200
 
 
 def map_units(chunks: DataFrame) -> DataFrame:
@@ -24,13 +24,21 @@ def map_units(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("job_result_id").alias("revision"), text.normal_path(F.col("path")).alias("path")).distinct().withColumn("unit_id", F.concat_ws("#", "revision", "path"))
 
 
+def unit_tokens(chunks: DataFrame) -> DataFrame:
+    """(unit_id, revision, channel, tokens): content tokens of every chunk, path tokens once per unit."""
+    content = chunks.select(F.col("job_result_id").alias("revision"), text.normal_path(F.col("path")).alias("path"), text.tokens(F.col("text")).alias("tokens")).select(
+        F.concat_ws("#", "revision", "path").alias("unit_id"), "revision", F.lit("content").alias("channel"), "tokens"
+    )
+    return content.unionByName(map_units(chunks).select("unit_id", "revision", F.lit("path").alias("channel"), text.tokens(F.col("path")).alias("tokens")))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(unit_id, revision, channel, token, tf); content tokens from the texts, path tokens once per unit."""
-    content = chunks.select(F.col("job_result_id").alias("revision"), text.normal_path(F.col("path")).alias("path"), F.explode(text.tokens(F.col("text"))).alias("token")).select(
-        F.concat_ws("#", "revision", "path").alias("unit_id"), "revision", F.lit("content").alias("channel"), "token"
-    )
-    path = map_units(chunks).select("unit_id", "revision", F.lit("path").alias("channel"), F.explode(text.tokens(F.col("path"))).alias("token"))
-    return content.unionByName(path).groupBy("unit_id", "revision", "channel", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return _posted(unit_tokens(chunks))
+
+
+def _posted(tokens: DataFrame) -> DataFrame:
+    return tokens.select("unit_id", "revision", "channel", F.explode("tokens").alias("token")).groupBy("unit_id", "revision", "channel", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def unit_lengths(posted: DataFrame) -> DataFrame:
@@ -65,22 +73,34 @@ class Index:
 
 
 def build_index(chunks: DataFrame) -> Index:
-    """The index of chunks, written once; texts are read and statistics worked out here only."""
+    """The index of chunks, written once; texts are read, cut into tokens and counted here only.
+
+    Postings lie sorted by token, the most frequent ones spread over several files, so that a scan for a query's tokens can skip row groups.
+    """
     units = materialize(map_units(chunks), "units")
-    # lengths come from the sizes of the token arrays: summing them is cheaper than building the postings twice
-    lengths = chunks.select(F.concat_ws("#", "job_result_id", text.normal_path(F.col("path"))).alias("unit_id"), F.lit("content").alias("channel"), F.size(text.tokens(F.col("text"))).alias("n"))
-    lengths = lengths.unionByName(units.select("unit_id", F.lit("path").alias("channel"), F.size(text.tokens(F.col("path"))).alias("n")))
-    lengths = materialize(lengths.groupBy("unit_id", "channel").agg(F.sum("n").alias("len")).where("len > 0"), "lengths")
-    posted = materialize(postings(chunks).join(lengths, ["unit_id", "channel"]), "postings")
+    tokens = materialize(unit_tokens(chunks), "tokens")
+    lengths = materialize(tokens.groupBy("unit_id", "channel").agg(F.sum(F.size("tokens")).alias("len")).where("len > 0"), "lengths")
+    posted = materialize(_posted(tokens).join(lengths, ["unit_id", "channel"]).repartitionByRange("token", "unit_id").sortWithinPartitions("token", "unit_id"), "postings")
+    return _with_statistics(units, posted, lengths)
+
+
+def _with_statistics(units: DataFrame, posted: DataFrame, lengths: DataFrame) -> Index:
     stats = materialize(channel_stats(lengths).join(average_idf(units, posted), "channel"), "stats")
     return Index(units, posted, materialize(document_frequency(posted), "vocabulary"), stats)
 
 
+def restrict(index: Index, units: DataFrame) -> Index:
+    """The index of some units only (unit_id): every statistic is that of these units, as if there were no others."""
+    own = materialize(index.units.join(units.select("unit_id").distinct(), "unit_id", "left_semi"), "scope")
+    posted = materialize(index.postings.join(own.select("unit_id"), "unit_id", "left_semi"), "scoped-postings")
+    return _with_statistics(own, posted, posted.groupBy("unit_id", "channel").agg(F.sum("tf").alias("len")))
+
+
 def score(query_tokens: DataFrame, index: Index) -> DataFrame:
     """(query_id, unit_id, channel, score) of units with a query token; query_tokens (query_id, token) are distinct.
 
-    Query tokens and their weights are broadcast up to ``BROADCAST_TOKENS`` rows; postings are then read in place and
-    only scores are shuffled. Beyond, the join shuffles.
+    Query tokens and their weights are broadcast up to ``BROADCAST_TOKENS`` rows (about 50 MB); postings are then read in place and
+    only scores are shuffled. Few tokens (``PUSHED_TOKENS``) also go to the scan as a filter. Beyond, the join shuffles.
     """
     idfs = (
         index.vocabulary.join(query_tokens.select("token").distinct(), "token", "left_semi").join(F.broadcast(index.stats), "channel")
@@ -88,9 +108,12 @@ def score(query_tokens: DataFrame, index: Index) -> DataFrame:
         .select("channel", "token", "avg_len", F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(scoring.IDF_FLOOR * F.col("avg_idf")).alias("idf"))
     )
     wanted = materialize(query_tokens.join(idfs, "token"), "query-tokens")
-    if wanted.count() <= BROADCAST_TOKENS:
+    n, posted = wanted.count(), index.postings
+    if n <= PUSHED_TOKENS:
+        posted = posted.where(F.col("token").isin([r.token for r in wanted.select("token").distinct().collect()]))
+    if n <= BROADCAST_TOKENS:
         wanted = F.broadcast(wanted)
-    hits = index.postings.join(wanted, ["channel", "token"])
+    hits = posted.join(wanted, ["channel", "token"])
     return hits.groupBy("query_id", "unit_id", "channel").agg(F.sum(scoring.bm25(F.col("idf"), F.col("tf"), F.col("len"), F.col("avg_len"))).alias("score"))
 
 
@@ -115,7 +138,10 @@ def min_max(df: DataFrame, score_col: str, out: str, default: float = 0.5) -> Da
     return df.withColumn(out, F.round(F.when((high <= 0) & (low <= 0), 0.0).when(high == low, default).otherwise((s - low) / (high - low)), 6))
 
 
-def discover(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def query_tokens(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(text.distinct_tokens(F.col("query"))).alias("token"))
+
+
+def discover(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     """Lexical discovery of (query_id, query) rows: the k best units of each, with normalised scores."""
-    tokens = queries.select("query_id", F.explode(text.distinct_tokens(F.col("query"))).alias("token"))
-    return min_max(top_units(fuse(score(tokens, build_index(chunks))), k), "lex", "discovery_score")
+    return min_max(top_units(fuse(score(query_tokens(queries), index)), k), "lex", "discovery_score")

@@ -71,7 +71,9 @@ QUESTIONS = f"(SELECT * FROM (SELECT item_id AS query_id, regexp_extract(text, '
 
 
 def sql_tokens(c: str) -> str:
-    return f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND regexp_matches(x, '[a-z0-9一-鿿]'))"
+    low = f"lower(regexp_replace(coalesce({c}, ''), '\\[\\[?(?:chunk|image|table):[^\\]\\s]+\\]?\\]', ' ', 'g'))"
+    runs = f"list_filter(regexp_extract_all(regexp_replace({low}, '([一-鿿]+)', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND regexp_matches(x, '[a-z0-9一-鿿]'))"
+    return f"flatten(list_transform({runs}, lambda x: CASE WHEN regexp_matches(x, '^[一-鿿]') THEN list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) ELSE [x] END))"
 
 
 def sql_path(c: str) -> str:

@@ -9,7 +9,7 @@ from lodestrata.functions import text
 from lodestrata.operators import graphs, lexical, sheets, structure, tools
 from lodestrata.plans.base import CHUNKS, QUESTIONS, SECTIONS, chunks, latest, query, questions, sections, sql, sql_path, sql_tokens, table
 from lodestrata.plans.relational import C, J, R, S
-from lodestrata.plans.retrieval import POSTED, SCORED, _chunks, _lines_of
+from lodestrata.plans.retrieval import POSTED, SCORED, _chunks, _index, _lines_of
 from lodestrata.sources import sinks
 from lodestrata.streaming import windows
 
@@ -91,7 +91,7 @@ def package_statistics(spark, sf_dir):
 def path_hydration(spark, sf_dir):
     """First-seen order of paths, each with the best confidence of its places."""
     c = _chunks(spark, sf_dir)
-    return lexical.discover(c, questions(spark, sf_dir)).join(lexical.map_units(c), "unit_id").groupBy("query_id", "path").agg(F.min("rank").alias("first_seen"), F.max("lex").alias("confidence"))
+    return lexical.discover(_index(spark, sf_dir), questions(spark, sf_dir)).join(_index(spark, sf_dir).units, "unit_id").groupBy("query_id", "path").agg(F.min("rank").alias("first_seen"), F.max("lex").alias("confidence"))
 
 
 @query("stm_09_sliding_windows", "SELECT b AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '12 hours']) AS b FROM events) GROUP BY ALL")
@@ -137,7 +137,5 @@ def keyword_sets(spark, sf_dir):
 
 @query("win_01_channel_ranks", SCORED + " SELECT query_id, channel, unit_id, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY round(score, 9) DESC, unit_id) AS r FROM scored WHERE score > 0) WHERE r <= 5")
 def channel_ranks(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
-    tokens = questions(spark, sf_dir).select("query_id", F.explode(text.distinct_tokens(F.col("query"))).alias("token"))
     w = Window.partitionBy("query_id", "channel").orderBy(F.desc(F.round("score", 9)), "unit_id")
-    return lexical.score(tokens, lexical.build_index(c)).where("score > 0").withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", "channel", "unit_id", "r")
+    return lexical.score(lexical.query_tokens(questions(spark, sf_dir)), _index(spark, sf_dir)).where("score > 0").withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", "channel", "unit_id", "r")

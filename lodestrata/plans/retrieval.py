@@ -8,32 +8,49 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scoring, text
 from lodestrata.operators import lexical, ranking, vector
 from lodestrata.plans.base import CHUNKS, QUESTIONS, chunks, query, questions, sql_path, sql_tokens, table
+from lodestrata.session import once
 from lodestrata.sources import formats
 
-UNITS = f"units AS (SELECT DISTINCT job_result_id AS revision, {sql_path('path')} AS path, job_result_id || '#' || {sql_path('path')} AS unit_id FROM c)"
-POSTED = f"""c AS (SELECT * FROM {CHUNKS} WHERE job_result_id IS NOT NULL), {UNITS},
+UNITS = f"all_units AS (SELECT DISTINCT job_result_id AS revision, {sql_path('path')} AS path, job_result_id || '#' || {sql_path('path')} AS unit_id FROM c)"
+
+
+def posted_sql(scope: str = "TRUE") -> str:
+    """Postings and statistics of the units in a scope, a condition on (unit_id, revision, path)."""
+    return f"""c AS (SELECT * FROM {CHUNKS} WHERE job_result_id IS NOT NULL), {UNITS}, units AS (SELECT * FROM all_units WHERE {scope}),
 posted AS (SELECT unit_id, revision, channel, token, count(*) AS tf FROM (
   SELECT job_result_id || '#' || {sql_path('path')} AS unit_id, job_result_id AS revision, 'content' AS channel, unnest({sql_tokens('text')}) AS token FROM c
-  UNION ALL SELECT unit_id, revision, 'path', unnest({sql_tokens('path')}) FROM units) GROUP BY ALL),
+  UNION ALL SELECT unit_id, revision, 'path', unnest({sql_tokens('path')}) FROM units) WHERE unit_id IN (SELECT unit_id FROM units) GROUP BY ALL),
 lens AS (SELECT unit_id, channel, sum(tf) AS len FROM posted GROUP BY ALL),
 stats AS (SELECT channel, count(*) AS n, avg(len) AS avg_len FROM lens GROUP BY ALL),
 dfs AS (SELECT channel, token, count(*) AS df FROM posted GROUP BY ALL),
 avg_idf AS (SELECT channel, sum(m * n_r) / sum(n_r) AS avg_idf FROM (
   SELECT revision, channel, avg(ln(n_r - df_r + 0.5) - ln(df_r + 0.5)) AS m, any_value(n_r) AS n_r
   FROM (SELECT revision, channel, token, count(*) AS df_r FROM posted GROUP BY ALL) JOIN (SELECT revision, count(*) AS n_r FROM units GROUP BY ALL) USING (revision) GROUP BY ALL) GROUP BY ALL)"""
-SCORED = f"""WITH {POSTED}, q AS (SELECT DISTINCT query_id, unnest({sql_tokens('query')}) AS token FROM {QUESTIONS}),
+
+
+def scored_sql(scope: str = "TRUE", k: int = 20) -> str:
+    """The k best units of each question among those in a scope."""
+    return f"""WITH {posted_sql(scope)}, q AS (SELECT DISTINCT query_id, unnest({sql_tokens('query')}) AS token FROM {QUESTIONS}),
 scored AS (SELECT query_id, unit_id, channel, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS score FROM (
   SELECT q.query_id, p.unit_id, p.channel, p.tf, l.len, s.avg_len, CASE WHEN ln(n - df + 0.5) - ln(df + 0.5) >= 0 THEN ln(n - df + 0.5) - ln(df + 0.5) ELSE 0.25 * avg_idf END AS idf
   FROM q JOIN posted p USING (token) JOIN lens l ON l.unit_id = p.unit_id AND l.channel = p.channel JOIN stats s ON s.channel = p.channel JOIN dfs d ON d.channel = p.channel AND d.token = p.token JOIN avg_idf a ON a.channel = p.channel) GROUP BY ALL),
 fused AS (SELECT query_id, unit_id, round(sum(CASE channel WHEN 'path' THEN 1.0 ELSE 2.0 END / (60 + r)), 6) AS lex FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY round(score, 9) DESC, unit_id) AS r FROM scored WHERE score > 0) GROUP BY ALL),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, unit_id) AS rank FROM fused) WHERE rank <= 20)"""
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, unit_id) AS rank FROM fused) WHERE rank <= {k})"""
+
+
+POSTED, SCORED = posted_sql(), scored_sql()
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).where("job_result_id is not null")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The index of all chunks, written once for all queries of a session."""
+    return once(spark, ("lexical", sf_dir), lambda: lexical.build_index(_chunks(spark, sf_dir)))
+
+
 def _lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.text_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -55,11 +72,10 @@ def channel_stats(spark, sf_dir):
 
 @query("agg_04_05_average_idf", f"WITH {POSTED} SELECT channel, round(avg_idf, 6) AS avg_idf FROM avg_idf")
 def average_idf(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
-    return lexical.build_index(c).stats.select("channel", F.round("avg_idf", 6).alias("avg_idf"))
+    return _index(spark, sf_dir).stats.select("channel", F.round("avg_idf", 6).alias("avg_idf"))
 
 
-@query("cor_20_map_units", f"WITH c AS (SELECT * FROM {CHUNKS} WHERE job_result_id IS NOT NULL), {UNITS} SELECT unit_id, revision, path FROM units")
+@query("cor_20_map_units", f"WITH c AS (SELECT * FROM {CHUNKS} WHERE job_result_id IS NOT NULL), {UNITS} SELECT unit_id, revision, path FROM all_units")
 def units(spark, sf_dir):
     return lexical.map_units(_chunks(spark, sf_dir))
 
@@ -67,14 +83,12 @@ def units(spark, sf_dir):
 @query("cor_01_lexical_discovery", SCORED + """ SELECT query_id, rank, unit_id, lex, round(CASE WHEN max(lex) OVER w = min(lex) OVER w THEN 0.5 ELSE (lex - min(lex) OVER w) / (max(lex) OVER w - min(lex) OVER w) END, 6) AS discovery_score
 FROM top WINDOW w AS (PARTITION BY query_id)""")
 def discovery(spark, sf_dir):
-    return lexical.discover(_chunks(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "rank", "unit_id", "lex", "discovery_score")
+    return lexical.discover(_index(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "rank", "unit_id", "lex", "discovery_score")
 
 
 @query("ma_01_bm25_scores", SCORED + " SELECT query_id, unit_id, channel, round(score, 6) AS score FROM scored")
 def bm25_scores(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
-    tokens = questions(spark, sf_dir).select("query_id", F.explode(text.distinct_tokens(F.col("query"))).alias("token"))
-    return lexical.score(tokens, lexical.build_index(c)).withColumn("score", F.round("score", 6))
+    return lexical.score(lexical.query_tokens(questions(spark, sf_dir)), _index(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("jop_units_to_chunks", SCORED + f""" SELECT query_id, rank, id, row_number() OVER (PARTITION BY query_id ORDER BY rank, sort_order, chunk_id, id) AS row_no
@@ -84,7 +98,7 @@ def units_to_chunks(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     rows = c.select("id", "chunk_id", "sort_order", F.concat_ws("#", "job_result_id", text.normal_path(F.col("path"))).alias("unit_id"))
     w = Window.partitionBy("query_id").orderBy("rank", "sort_order", "chunk_id", "id")
-    return lexical.discover(c, questions(spark, sf_dir)).join(rows, "unit_id").select("query_id", "rank", "id", F.row_number().over(w).alias("row_no"))
+    return lexical.discover(_index(spark, sf_dir), questions(spark, sf_dir)).join(rows, "unit_id").select("query_id", "rank", "id", F.row_number().over(w).alias("row_no"))
 
 
 PAGES = """sims AS (SELECT q.vec_id AS query_id, p.vec_id AS page_id, round(CASE WHEN list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) IS NULL THEN 0 ELSE list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) END, 9) AS similarity
@@ -108,15 +122,6 @@ def visual_hits(spark, sf_dir):
     return _pages(spark, sf_dir).join(e, "page_id").groupBy("query_id", "label").agg(F.round(F.greatest(F.max("similarity"), F.lit(0.0)), 6).alias("similarity"), F.sort_array(F.collect_set("page_id")).alias("page_nums"))
 
 
-@query("win_03_hybrid_fusion", f"""WITH {PAGES}, lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS r FROM pages),
-total AS (SELECT query_id, key, round(sum(s), 9) AS score FROM (SELECT query_id, page_id AS key, 3.0 / (60 + r) AS s FROM lex UNION ALL SELECT query_id, page_id, 1.5 / (60 + rank) FROM pages) GROUP BY ALL)
-SELECT query_id, key, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM total) WHERE rank <= 5""")
-def hybrid(spark, sf_dir):
-    pages = _pages(spark, sf_dir).withColumnRenamed("page_id", "key")
-    lex = pages.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("key")))
-    return vector.fuse_hybrid(lex, pages, 5).withColumn("score", F.round("score", 6))
-
-
 HEAT = """h AS (SELECT user_id, count(*) AS hits, max(ts) AS last_hit, min(ts) AS created FROM events GROUP BY ALL),
 heat AS (SELECT user_id, hits, round(0.7 * hits * exp(-0.693 * (epoch(TIMESTAMP '2024-02-01') - epoch(last_hit)) / 86400 / 30) + 0.3 * exp(-0.693 * (epoch(TIMESTAMP '2024-02-01') - epoch(created)) / 86400 / 30), 4) AS heat FROM h)"""
 
@@ -136,20 +141,6 @@ def importance(spark, sf_dir):
     return ranking.importance(_heat(spark, sf_dir), "heat").select("user_id", F.round("importance", 2).alias("importance"))
 
 
-@query("cor_05_rank_candidates", SCORED + f""", heat AS (SELECT revision, round(1.0 / count(*), 4) AS heat FROM units GROUP BY ALL), o AS (SELECT list(heat ORDER BY heat) AS l, count(*) AS n FROM heat),
-z AS (SELECT l[n // 2 + 1] AS m, CASE WHEN n < 4 THEN l[1] ELSE l[n // 4 + 1] END AS q1, CASE WHEN n < 4 THEN l[n] ELSE l[3 * n // 4 + 1] END AS q3 FROM o), imp AS (SELECT revision, CASE WHEN q3 - q1 <= 1e-9 THEN 1 ELSE 0.1 + 1.9 / (1 + exp(-(heat - m) / (q3 - q1))) END AS importance FROM heat, z),
-d AS (SELECT *, round(CASE WHEN max(lex) OVER w = min(lex) OVER w THEN 0.5 ELSE (lex - min(lex) OVER w) / (max(lex) OVER w - min(lex) OVER w) END, 6) AS disc FROM top WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, unit_id, rank, round(disc * importance, 5) AS final FROM d JOIN units USING (unit_id) JOIN imp USING (revision))
-SELECT query_id, unit_id, final FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, rank) AS r FROM f) WHERE r <= 10""")
-def rank_candidates(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
-    u = lexical.map_units(c)
-    weight = ranking.importance(u.groupBy("revision").agg(F.round(1.0 / F.count(F.lit(1)), 4).alias("heat")), "heat").select("revision", "importance")
-    found = lexical.discover(c, questions(spark, sf_dir)).join(u, "unit_id").join(weight, "revision")
-    w = Window.partitionBy("query_id").orderBy(F.desc("final"), "rank")
-    return found.withColumn("final", F.round(F.col("discovery_score") * F.col("importance"), 5)).withColumn("r", F.row_number().over(w)).where("r <= 10").select("query_id", "unit_id", "final")
-
-
 @query("ma_04_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

@@ -61,8 +61,20 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple, build):
+    """What ``build()`` gives, built once for this session and key until ``release``; for written tables that many queries read."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
 def release(spark: SparkSession) -> None:
     """Remove what ``materialize`` wrote. For long sessions, once the results built on it are written or collected."""
+    _kept.clear()
     while _written:
         _drop(spark, _written.pop())
 
