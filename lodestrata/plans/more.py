@@ -14,22 +14,13 @@ from lodestrata.sources import sinks
 from lodestrata.streaming import windows
 
 # pages
-sql("doc_06_page_offsets", "directory_sections", f"SELECT section_id, p + 4 AS page FROM {S} s LATERAL VIEW explode(page_nums) e AS p WHERE p + 4 <= 300", f"SELECT section_id, p + 4 AS page FROM (SELECT section_id, unnest(page_nums) AS p FROM {S} s) x WHERE p + 4 <= 300")
-sql("doc_13_shared_pages", "directory_sections", f"SELECT section_id, page, CASE WHEN owner = section_id THEN 'own' ELSE '[SAME-AS ' || owner || ' p' || CAST(page AS STRING) || ']' END AS body FROM (SELECT section_id, page, first_value(section_id) OVER (PARTITION BY job_result_id, page ORDER BY sort_order, section_id) AS owner FROM {S} s LATERAL VIEW explode(array_distinct(page_nums)) e AS page) x",
-    f"SELECT section_id, page, CASE WHEN owner = section_id THEN 'own' ELSE '[SAME-AS ' || owner || ' p' || CAST(page AS VARCHAR) || ']' END AS body FROM (SELECT section_id, page, first_value(section_id) OVER (PARTITION BY job_result_id, page ORDER BY sort_order, section_id) AS owner FROM (SELECT *, unnest(list_distinct(page_nums)) AS page FROM {S} s) y) x")
-sql("doc_23_page_plan", "jobs", f"SELECT job_id, page, CASE WHEN page % 7 = 0 THEN 'skip_tagging' ELSE 'vlm_lite' END AS plan FROM {J} j LATERAL VIEW explode(sequence(1, page_count)) e AS page WHERE page_count >= 1", f"SELECT job_id, page, CASE WHEN page % 7 = 0 THEN 'skip_tagging' ELSE 'vlm_lite' END AS plan FROM (SELECT job_id, unnest(range(1, page_count::BIGINT + 1)) AS page FROM {J} j WHERE page_count >= 1) x")
 sql("win_13_back_jumps", "directory_sections", f"SELECT section_id, sum(jump) OVER (PARTITION BY job_result_id ORDER BY sort_order, section_id ROWS UNBOUNDED PRECEDING) AS segment FROM (SELECT section_id, job_result_id, sort_order, CASE WHEN array_min(page_nums) < lag(array_min(page_nums)) OVER (PARTITION BY job_result_id ORDER BY sort_order, section_id) THEN 1 ELSE 0 END AS jump FROM {S} s WHERE size(page_nums) > 0) x",
     f"SELECT section_id, CAST(sum(jump) OVER (PARTITION BY job_result_id ORDER BY sort_order, section_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM (SELECT section_id, job_result_id, sort_order, CASE WHEN list_min(page_nums) < lag(list_min(page_nums)) OVER (PARTITION BY job_result_id ORDER BY sort_order, section_id) THEN 1 ELSE 0 END AS jump FROM {S} s WHERE len(page_nums) > 0) x")
-sql("win_16_signature_runs", "job_chunks", f"SELECT job_result_id, path, min(sort_order) AS first_at, count(*) AS n FROM (SELECT job_result_id, path, sort_order, sort_order - row_number() OVER (PARTITION BY job_result_id, path ORDER BY sort_order, id) AS island FROM {C} c WHERE path IS NOT NULL) x GROUP BY job_result_id, path, island HAVING count(*) >= 2")
-sql("doc_08_scope_pruning", "directory_sections", f"SELECT s.section_id FROM {S} s JOIN {S} p ON p.section_id = s.parent_section_id AND p.job_result_id = s.job_result_id WHERE s.section_level > p.section_level")
 sql("doc_14_fat_leaves", "directory_sections", f"SELECT s.section_id, size(s.page_nums) AS n_pages FROM {S} s WHERE size(s.page_nums) >= 3 AND NOT EXISTS (SELECT 1 FROM {S} c WHERE c.parent_section_id = s.section_id)", f"SELECT s.section_id, len(s.page_nums) AS n_pages FROM {S} s WHERE len(s.page_nums) >= 3 AND NOT EXISTS (SELECT 1 FROM {S} c WHERE c.parent_section_id = s.section_id)")
 sql("cor_16_list_documents", "documents job_results job_chunks", f"SELECT d.document_id, count(DISTINCT r.id) AS n_results, count(c.id) AS n_chunks FROM {{documents}} d LEFT JOIN {R} r ON r.document_id = d.document_id LEFT JOIN {C} c ON c.job_result_id = r.id GROUP BY d.document_id")
 sql("cor_27_versions", "job_results", f"SELECT document_id, id, row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS version, CASE WHEN row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, id DESC) = 1 THEN 1 ELSE 0 END AS is_current FROM {R} r WHERE document_id IS NOT NULL")
 sql("stm_03_earliest_retry", "events", "SELECT user_id, min(ts) + INTERVAL '60' SECOND AS retry_at, count(*) AS n FROM (SELECT user_id, ts, max(ts) OVER (PARTITION BY user_id) AS last_ts FROM {events}) x WHERE ts > last_ts - INTERVAL '1' DAY GROUP BY user_id")
 sql("stm_08_outbox_claims", "jobs", f"SELECT job_id, updated_at, row_number() OVER (PARTITION BY user_id ORDER BY updated_at, job_id) AS attempt_order FROM {J} j WHERE status NOT IN ('done', 'failed')")
-sql("agg_28_token_costs", "lineitem", "SELECT l_returnflag AS model, l_linestatus AS task, round(sum(l_quantity) / 1000000 * rate, 9) AS cost FROM {lineitem} JOIN (VALUES ('A', 1.5), ('N', 2.5)) AS v(m, rate) ON l_returnflag = m GROUP BY l_returnflag, l_linestatus, rate")
-
-
 @query("joi_02_posting_lookup", f"WITH {POSTED}, q AS (SELECT DISTINCT query_id, unnest({sql_tokens('query')}) AS token FROM {QUESTIONS}) SELECT query_id, channel, count(*) AS n, sum(tf)::BIGINT AS tf FROM q JOIN posted USING (token) GROUP BY ALL")
 def posting_lookup(spark, sf_dir):
     tokens = questions(spark, sf_dir).select("query_id", F.explode(text.distinct_tokens(F.col("query"))).alias("token"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.operators import hierarchy, nested
-from lodestrata.plans import more, relational, retrieval, routes, structures, trees  # noqa: F401
+from lodestrata.plans import documents, more, relational, retrieval, routes, structures, trees  # noqa: F401
 from lodestrata.plans.base import ORACLES, QUERIES, Query, table
 
 

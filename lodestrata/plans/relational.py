@@ -20,7 +20,6 @@ sql("fil_03_document_scope", "documents", "SELECT doc_id, source FROM {documents
 sql("fil_04_asset_types", "job_chunks", f"SELECT job_result_id, path, max(CASE WHEN chunk_type = 'image' THEN 1 ELSE 0 END) AS has_image, max(CASE WHEN chunk_type = 'table' THEN 1 ELSE 0 END) AS has_table FROM {C} c GROUP BY job_result_id, path HAVING max(CASE WHEN chunk_type IN ('image', 'table') THEN 1 ELSE 0 END) = 1")
 sql("fil_05_signal_paths", "job_chunks", f"SELECT id, path FROM {C} c WHERE (lower(coalesce(path, '')) LIKE '%pump%' OR lower(coalesce(path, '')) LIKE '%anhang%') AND NOT lower(coalesce(path, '')) LIKE '%overview%'")
 sql("fil_06_subtree", "directory_sections", f"SELECT s.section_id, t.section_id AS target_id FROM {S} s JOIN {S} t ON s.job_result_id = t.job_result_id AND (s.section_path = t.section_path OR substr(s.section_path, 1, length(t.section_path) + 3) = t.section_path || ' / ') WHERE t.section_level = 1")
-sql("fil_07_exclude_sections", "directory_sections", f"SELECT s.section_id FROM {S} s WHERE s.section_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {S} t WHERE t.section_level = 2 AND t.job_result_id = s.job_result_id AND s.section_path = t.section_path) ")
 sql("fil_08_chunk_types", "job_chunks", f"SELECT chunk_type, CASE chunk_type WHEN 'text' THEN 1 WHEN 'image' THEN 2 WHEN 'table' THEN 3 WHEN 'page' THEN 4 ELSE 0 END AS data_type, count(*) AS n FROM {C} c WHERE chunk_type IN ('text', 'image', 'table', 'page') GROUP BY chunk_type")
 sql("fil_10_substring", "job_chunks", f"SELECT id FROM {C} c WHERE lower(coalesce(text, '')) LIKE '%inspection report%' OR lower(coalesce(text, '')) LIKE '%检验报告%'")
 sql("fil_11_entry_documents", "demo_documents directory_sections", f"""SELECT document_id, 'section' AS found_by FROM {S} s WHERE lower(section_title) LIKE '%appendix%' AND document_id IS NOT NULL GROUP BY document_id
@@ -39,7 +38,6 @@ sql("joi_04_page_numbers", "job_chunks", f"SELECT c.id, try_cast(p AS INT) AS pa
     f"SELECT id, CAST(p AS INT) AS page_num FROM (SELECT c.id, unnest(CAST(chunk_metadata->'$.page_nums' AS VARCHAR[])) AS p FROM {C} c WHERE json_type(chunk_metadata, '$.page_nums') = 'ARRAY') x WHERE regexp_matches(p, '^[0-9]+$')")
 sql("joi_05_semi_pages", "job_chunks directory_sections", f"SELECT DISTINCT s.job_result_id, s.section_id FROM {S} s WHERE EXISTS (SELECT 1 FROM {C} c WHERE c.job_result_id = s.job_result_id AND c.sort_order = s.sort_order AND c.chunk_type = 'page')")
 sql("joi_06_any_in_scope", "job_results job_chunks", f"SELECT r.id, CASE WHEN EXISTS (SELECT 1 FROM {C} c WHERE c.job_result_id = r.id AND c.chunk_type = 'image') THEN 1 ELSE 0 END AS has_image FROM {R} r")
-sql("joi_07_multi_key", "job_chunks directory_sections", f"SELECT s.section_id, c.id FROM {S} s JOIN {C} c ON c.job_result_id = s.job_result_id AND c.sort_order = s.sort_order")
 sql("joi_08_values_pins", "documents", "SELECT d.doc_id, v.tier FROM {documents} d JOIN (VALUES ('en', 1), ('de', 2), ('zh', 3)) AS v(lang, tier) ON d.lang = v.lang")
 sql("joi_12_graph_neighbours", "orders lineitem", "SELECT node, other, count(*) AS weight FROM (SELECT l_partkey AS node, l_suppkey AS other FROM {lineitem} UNION ALL SELECT l_suppkey + 1000000, l_partkey FROM {lineitem}) e GROUP BY node, other HAVING count(*) > 1")
 sql("joi_13_documents_left_nodes", "documents job_results", f"SELECT d.doc_id, r.id AS node_id FROM {{documents}} d LEFT JOIN {R} r ON r.document_id = d.document_id")
@@ -51,7 +49,6 @@ sql("joi_22_unique_suffix", "directory_sections", f"SELECT job_result_id, sectio
 
 # aggregates
 sql("agg_09_types_breakdown", "job_chunks", f"SELECT job_result_id, count(*) AS total, count(*) FILTER (WHERE chunk_type = 'text') AS n_text, count(*) FILTER (WHERE chunk_type = 'page') AS n_page, count(*) FILTER (WHERE chunk_type = 'table') AS n_table, count(*) FILTER (WHERE chunk_type = 'image') AS n_image FROM {C} c GROUP BY job_result_id")
-sql("agg_10_bounded_count", "job_chunks", f"SELECT job_result_id, least(count(*), 11) AS bounded, CASE WHEN count(*) <= 10 THEN 1 ELSE 0 END AS small FROM {C} c GROUP BY job_result_id")
 sql("agg_11_conditional_counts", "jobs", f"SELECT get_json_object(job_metadata, '$.parsing_params.model') AS model, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS failed, sum(credits_charged) FILTER (WHERE status = 'done') AS credits FROM {J} j GROUP BY get_json_object(job_metadata, '$.parsing_params.model')",
     f"SELECT job_metadata->>'$.parsing_params.model' AS model, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'failed') AS failed, CAST(sum(credits_charged) FILTER (WHERE status = 'done') AS BIGINT) AS credits FROM {J} j GROUP BY 1")
 sql("agg_12_percentile", "events", "SELECT event_type, round(percentile(value, 0.95), 6) AS p95, round(percentile(value, 0.5), 6) AS p50 FROM {events} GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS p50 FROM {events} GROUP BY event_type")
@@ -82,10 +79,6 @@ sql("agg_35_chunks_by_revision", "job_chunks job_results", f"SELECT r.document_i
 
 # windows
 sql("win_06_first_hit", "job_chunks", f"SELECT job_result_id, path, id FROM (SELECT *, row_number() OVER (PARTITION BY job_result_id, path ORDER BY sort_order, id) AS rn2 FROM {C} c WHERE lower(text) LIKE '%water permit%') x WHERE rn2 = 1")
-sql("win_07_term_blocks", "job_chunks", f"""SELECT term, id, pos FROM (SELECT t.term, c.id, row_number() OVER (ORDER BY t.n, t.term, c.id) AS pos FROM (SELECT term, count(*) AS n FROM (VALUES ('spare rotor'), ('tender file'), ('soil survey')) AS v(term) JOIN {C} c ON lower(c.text) LIKE '%' || term || '%' GROUP BY term) t
-JOIN {C} c ON lower(c.text) LIKE '%' || t.term || '%') x WHERE pos <= 90""")
-sql("win_08_duplicate_paths", "job_chunks", f"SELECT id, CASE WHEN n = 1 THEN path ELSE path || '_' || CAST(n AS STRING) END AS unique_path FROM (SELECT id, path, row_number() OVER (PARTITION BY job_result_id, path ORDER BY sort_order, id) AS n FROM {C} c WHERE path IS NOT NULL) x",
-    f"SELECT id, CASE WHEN n = 1 THEN path ELSE path || '_' || CAST(n AS VARCHAR) END AS unique_path FROM (SELECT id, path, row_number() OVER (PARTITION BY job_result_id, path ORDER BY sort_order, id) AS n FROM {C} c WHERE path IS NOT NULL) x")
 sql("win_10_turns", "events", """SELECT user_id, turn, count(*) AS n, min(ts) AS started FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn FROM (
 SELECT user_id, ts, event_id, CASE WHEN lag(event_type) OVER w IS NULL OR lag(event_type) OVER w <> event_type OR ts >= lag(ts) OVER w + INTERVAL '2' HOUR THEN 1 ELSE 0 END AS fresh FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) a) b GROUP BY user_id, turn""")
 sql("win_14_islands", "directory_sections", f"SELECT job_result_id, island, count(*) AS n, min(sort_order) AS first_at FROM (SELECT job_result_id, sort_order, sort_order - row_number() OVER (PARTITION BY job_result_id ORDER BY sort_order, section_id) AS island FROM {S} s WHERE section_title IS NOT NULL) x GROUP BY job_result_id, island")
@@ -96,12 +89,8 @@ sql("win_17_page_owner", "directory_sections", f"SELECT job_result_id, page, sec
 sql("win_18_renumber", "job_chunks", f"SELECT id, row_number() OVER (PARTITION BY job_result_id ORDER BY path NULLS FIRST, sort_order, id) - 1 AS sort_order FROM {C} c")
 
 # top-k and paging
-sql("top_03_nearest_values", "part", "SELECT p_partkey, p_retailprice FROM {part} ORDER BY abs(p_retailprice - 1200), p_partkey LIMIT 20")
-sql("top_05_two_tiers", "events", "SELECT user_id, tier, position FROM (SELECT user_id, tier, row_number() OVER (ORDER BY tier, s DESC, user_id) AS position FROM (SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 THEN 0 ELSE 1 END AS tier, round(max(value), 6) AS s FROM {events} GROUP BY user_id) x) y WHERE position <= 100")
 sql("top_06_pages", "jobs", f"SELECT job_id, created_at FROM {J} j ORDER BY created_at DESC, job_id LIMIT 50 OFFSET 50")
 sql("top_07_char_budget", "job_chunks", f"SELECT job_result_id, id FROM (SELECT job_result_id, id, sum(length(text)) OVER (PARTITION BY job_result_id ORDER BY sort_order, id ROWS UNBOUNDED PRECEDING) AS upto FROM {C} c WHERE text IS NOT NULL) x WHERE upto <= 15000")
-sql("top_08_per_group", "events", "SELECT DISTINCT user_id FROM (SELECT user_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM {events}) x WHERE r <= 3")
-
 # sets
 sql("set_01_union_distinct", "directory_sections job_chunks", f"SELECT job_result_id, section_title AS name FROM {S} s WHERE section_title IS NOT NULL UNION SELECT job_result_id, path FROM {C} c WHERE path IS NOT NULL")
 sql("set_02_union_all_claims", "documents jobs", f"SELECT document_id AS claim, 'document' AS kind FROM {{documents}} UNION ALL SELECT job_id, 'job' FROM {J} j")

@@ -55,11 +55,6 @@ def packed(spark, sf_dir):
     return d.select("doc_id", F.posexplode(structure.pack_lines(F.split("text", "\n"))).alias("part", "body")).select("doc_id", "part", F.length("body").alias("n_chars"))
 
 
-@query("doc_01_heading_candidates", f"SELECT doc_id, line_no FROM {LINES} WHERE length(trim(line)) BETWEEN 1 AND 60 AND NOT regexp_matches(trim(line), '[.!?;。！？；]$') AND regexp_matches(trim(line), '^#{{1,6}}\\s')")
-def heading_candidates(spark, sf_dir):
-    return _lines(spark, sf_dir).where((structure.heading_score(F.col("line")) > 0) & F.trim("line").rlike(r"^#{1,6}\s")).select("doc_id", "line_no")
-
-
 @query("doc_17_page_grep", f"SELECT id, n FROM (SELECT id, len(regexp_extract_all(lower(coalesce(text, '')), 'annual (shutdown|report)')) AS n FROM {CHUNKS}) WHERE n > 0")
 def page_grep(spark, sf_dir):
     n = F.size(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(annual (?:shutdown|report))"), F.lit(1)))
@@ -74,19 +69,6 @@ def grep(spark, sf_dir):
     return tools.grep(chunks(spark, sf_dir), ["soil survey", "tender file"]).select("term", "job_result_id", "id", "at")
 
 
-@query("tab_01_grid_size", f"SELECT id, (length(text) - length(replace(text, '<tr', ''))) // 3 AS n_rows FROM {CHUNKS} WHERE chunk_type = 'table' AND text LIKE '%<table%' AND NOT text LIKE '%rowspan%'")
-def grid_size(spark, sf_dir):
-    t = chunks(spark, sf_dir).where("chunk_type = 'table' and text like '%<table%' and not text like '%rowspan%'")
-    return t.select("id", F.size(sheets.html_grid(F.col("text"))).cast("bigint").alias("n_rows"))
-
-
-@query("tab_02_grid_cells", f"SELECT id, len(r) * list_max(list_transform(r, lambda x: len(regexp_extract_all(x, '<t[dh]')))) AS n_cells FROM (SELECT id, string_split(text, '<tr')[2:] AS r FROM {CHUNKS} WHERE chunk_type = 'table' AND text LIKE '%<table%' AND NOT text LIKE '%span%')")
-def grid_cells(spark, sf_dir):
-    t = chunks(spark, sf_dir).where("chunk_type = 'table' and text like '%<table%' and not text like '%span%'")
-    cells = t.select("id", F.explode(sheets.html_grid(F.col("text"))).alias("row"))
-    return cells.groupBy("id").agg(F.sum(F.size("row")).alias("n_cells"))
-
-
 @query("tab_13_search_text")
 def search_text(spark, sf_dir):
     """Distinct cell texts of every table in reading order."""
