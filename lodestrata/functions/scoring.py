@@ -41,3 +41,23 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 where a vector has no length."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
+
+
+#: Bonus for each distinct query token found in the content (fixed value).
+COVERAGE = 1.5
+
+
+def lucene_bm25(n: Column, df: Column, tf: Column, length: Column, average: Column) -> Column:
+    """BM25 as search engines on inverted indexes score it: the idf is never negative, and tf is not scaled by k1 + 1."""
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + K1 * ((1 - B) + B * length / average))
+
+
+def zero_failure_bound(n: Column, confidence: float = 0.95) -> Column:
+    """Least success rate that n trials without a failure show."""
+    return F.when(n > 0, F.pow(F.lit(1 - confidence), 1.0 / n)).otherwise(0.0)
+
+
+def normal_rect(x0: Column, y0: Column, x1: Column, y1: Column, dpi: float | None = None) -> Column:
+    """A rectangle with its lesser corner first; pixels at ``dpi`` become points."""
+    k = 72.0 / dpi if dpi else 1.0
+    return F.struct((F.least(x0, x1) * k).alias("x0"), (F.least(y0, y1) * k).alias("y0"), (F.greatest(x0, x1) * k).alias("x1"), (F.greatest(y0, y1) * k).alias("y1"))

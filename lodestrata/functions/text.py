@@ -101,3 +101,71 @@ def scrub_nul(text: Column) -> Column:
 def mask_key(key: Column) -> Column:
     """First and last four characters of a key; short ones are hidden altogether."""
     return F.when(F.length(key) > 8, F.concat(F.left(key, F.lit(4)), F.lit("..."), F.right(key, F.lit(4)))).otherwise(F.lit("***"))
+
+
+def chunk_refs(text: Column) -> Column:
+    """Chunk references in order, each once, with the places of their first occurrence: array<struct<ref, start, end>>, end exclusive, from 0."""
+    refs = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({CHUNK_REF})"), F.lit(1)))
+    return F.transform(refs, lambda r: F.struct(r.alias("ref"), (F.instr(text, r) - 1).alias("start"), (F.instr(text, r) - 1 + F.length(r)).alias("end")))
+
+
+def without_refs(text: Column) -> Column:
+    return F.regexp_replace(text, CHUNK_REF, "")
+
+
+SAME_AS = r"\[SAME-AS [^\]]*\]"
+
+
+def content_search_text(content: Column, summary: Column, entities: Column, section_summary: Column) -> Column:
+    """Tokens of what is searched as content, joined by blanks; null where there is nothing. SAME-AS marks don't count; ``entities`` is an array."""
+    raw = F.concat_ws(" ", F.regexp_replace(content, SAME_AS, ""), summary, F.array_join(entities, " "), section_summary)
+    return F.nullif(F.array_join(tokens(raw), " "), F.lit(""))
+
+
+def path_search_text(*parts: Column) -> Column:
+    """Tokens of file name, path, title and summary, joined by blanks."""
+    return F.array_join(tokens(F.concat_ws(" ", *parts)), " ")
+
+
+def term_search_text(content: Column, path: Column) -> Column:
+    """What literal searches look through: the text as it stands, and the path below it."""
+    return F.concat_ws("\n", content, path)
+
+
+def lexical_text(text: Column) -> Column:
+    """A text and, in a line below, its tokens, each once."""
+    return F.concat_ws("\n", text, F.array_join(distinct_tokens(text), " "))
+
+
+def row_text(kind: Column, title: Column, document: Column, path: Column, score: Column, depth: Column, hit: Column) -> Column:
+    """A result row as one line: kind, title, document, section, score, and a mark if it is a hit; two blanks of indent a level."""
+    return F.concat(F.repeat(F.lit("  "), depth), F.lit("- ["), kind, F.lit("]"), F.coalesce(F.concat(F.lit(" "), F.nullif(title, F.lit(""))), F.lit("")), F.lit(" | document_id="), document, F.lit(" section_path="), path, F.coalesce(F.concat(F.lit(" score="), score.cast("string")), F.lit("")), F.when(hit, " [Hit]").otherwise(""))
+
+
+_BOLD = r"^(\*{2,3}|_{2,3})(\S(?:.*\S)?)\1$"
+
+
+def plain_line(line: Column) -> tuple[Column, Column]:
+    """(line without the bold marks around all of it, whether it had them)."""
+    bold = line.rlike(_BOLD) & ~F.regexp_extract(line, _BOLD, 2).rlike(r"\*\*|__")
+    return F.when(bold, F.trim(F.regexp_extract(line, _BOLD, 2))).otherwise(line), bold
+
+
+def match_text(text: Column) -> Column:
+    """Text as literal matches compare it: lower case, blanks in a row as one, none beside a CJK character; full-width forms as plain ones."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    plain = F.translate(F.lower(F.translate(F.coalesce(text, F.lit("")), wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)))), "　", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r"(?<=[一-鿿]) | (?=[一-鿿])", ""))
+
+
+def speaker_line(speaker: Column, said: Column) -> Column:
+    """S{n+1} for a speaker's number n, and what was said."""
+    return F.concat(F.lit("S"), (speaker + 1).cast("string"), F.lit(": "), said)
+
+
+def token_estimate(text: Column) -> Column:
+    """Tokens a model may take a text for: CJK characters by 1.5, ASCII words by 4 and other characters by 3, but at least length by 2.5; 0 for no text, else 1 at least."""
+    n = F.length(text)
+    zh, ascii_ = F.length(F.regexp_replace(text, r"[^一-鿿]", "")), F.length(F.regexp_replace(text, r"[^A-Za-z0-9_]", ""))
+    mixed = zh / 1.5 + ascii_ / 4.0 + F.greatest(n - zh - ascii_, F.lit(0)) / 3.0
+    return F.when(F.coalesce(n, F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.greatest(mixed, n / 2.5)).cast("int")))

