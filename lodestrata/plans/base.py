@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
-from lodestrata.session import table
+from lodestrata.session import materialize, once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,22 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(table(spark, sf_dir, "job_chunks"), "id", "created_at", "chunk_id")
 
 
+#: Ids delivered again, by their hashes, that are broadcast.
+BROADCAST_KEYS = 1_000_000
+
+
+def chunks_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``chunks``; only rows of ids delivered again are shuffled. Ids that share a hash only take the longer way."""
+    rows = table(spark, sf_dir, "job_chunks")
+    seen = rows.groupBy(F.xxhash64("id").alias("_h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h")
+    again = once(spark, ("again", sf_dir), lambda: materialize(seen, "again"))
+    if again.count() > BROADCAST_KEYS:
+        return chunks(spark, sf_dir)
+    hashed = rows.withColumn("_h", F.xxhash64("id"))
+    several = hashed.join(F.broadcast(again), "_h", "left_semi").drop("_h")
+    return hashed.join(F.broadcast(again), "_h", "left_anti").drop("_h").unionByName(latest(several, "id", "created_at", "chunk_id"))
+
+
 CHUNKS = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, chunk_id DESC NULLS LAST) rn FROM job_chunks) WHERE rn = 1)"
 
 
@@ -80,4 +96,4 @@ def sql_path(c: str) -> str:
     return f"coalesce(nullif(array_to_string(list_filter(list_transform(string_split(coalesce({c}, ''), '/'), lambda x: trim(x)), lambda x: x <> ''), ' / '), ''), 'Root')"
 
 
-__all__ = ["CHUNKS", "ORACLES", "QUERIES", "QUESTIONS", "SECTIONS", "chunks", "latest", "query", "questions", "sections", "sql", "sql_path", "sql_tokens", "table", "text"]
+__all__ = ["CHUNKS", "ORACLES", "QUERIES", "QUESTIONS", "SECTIONS", "chunks", "chunks_in_place", "latest", "query", "questions", "sections", "sql", "sql_path", "sql_tokens", "table", "text"]

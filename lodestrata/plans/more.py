@@ -128,5 +128,4 @@ def keyword_sets(spark, sf_dir):
 
 @query("win_01_channel_ranks", SCORED + " SELECT query_id, channel, unit_id, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY round(score, 9) DESC, unit_id) AS r FROM scored WHERE score > 0) WHERE r <= 5")
 def channel_ranks(spark, sf_dir):
-    w = Window.partitionBy("query_id", "channel").orderBy(F.desc(F.round("score", 9)), "unit_id")
-    return lexical.score(lexical.query_tokens(questions(spark, sf_dir)), _index(spark, sf_dir)).where("score > 0").withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", "channel", "unit_id", "r")
+    return lexical.channel_best(_index(spark, sf_dir), questions(spark, sf_dir), 5).select("query_id", "channel", "unit_id", F.col("rank").alias("r"))

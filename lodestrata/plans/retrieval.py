@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scoring, text
 from lodestrata.operators import lexical, ranking, vector
-from lodestrata.plans.base import CHUNKS, QUESTIONS, chunks, query, questions, sql_path, sql_tokens, table
+from lodestrata.plans.base import CHUNKS, QUESTIONS, chunks_in_place, query, questions, sql_path, sql_tokens, table
 from lodestrata.session import once
 from lodestrata.sources import formats
 
@@ -43,7 +43,7 @@ POSTED, SCORED = posted_sql(), scored_sql()
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).where("job_result_id is not null")
+    return chunks_in_place(spark, sf_dir).where("job_result_id is not null")
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
@@ -98,7 +98,7 @@ def units_to_chunks(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     rows = c.select("id", "chunk_id", "sort_order", F.concat_ws("#", "job_result_id", text.normal_path(F.col("path"))).alias("unit_id"))
     w = Window.partitionBy("query_id").orderBy("rank", "sort_order", "chunk_id", "id")
-    return lexical.discover(_index(spark, sf_dir), questions(spark, sf_dir)).join(rows, "unit_id").select("query_id", "rank", "id", F.row_number().over(w).alias("row_no"))
+    return rows.join(F.broadcast(lexical.discover(_index(spark, sf_dir), questions(spark, sf_dir))), "unit_id").select("query_id", "rank", "id", F.row_number().over(w).alias("row_no"))
 
 
 PAGES = """sims AS (SELECT q.vec_id AS query_id, p.vec_id AS page_id, round(CASE WHEN list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) IS NULL THEN 0 ELSE list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) END, 9) AS similarity
