@@ -11,6 +11,9 @@ from lodestrata.session import materialize
 #: Relations followed when connections are expanded (fixed values).
 FORWARD = ("embeds", "related", "derives")
 
+#: Items of all sets up to which they are broadcast (some 120 bytes each), pairs that a task counts, and tasks at most.
+BROADCAST_ITEMS, TASK_PAIRS, MOST_TASKS = 500_000, 1_000_000, 5_000
+
 
 def keywords(texts: DataFrame, scope: str, content: str, k: int = 10) -> DataFrame:
     """(scope, keyword, score, rank): the k best of tf * (ln(total / df) + 1) of each scope; tf over its texts, df over all texts.
@@ -31,13 +34,19 @@ def overlaps(sets: DataFrame, key: str, item: str, least: float = 0.8, least_sha
     """(a, b, shared, score) of keys whose item sets overlap: shared length over the smaller set's length, in characters.
 
     Sets meet on their items (an equi join), never all with all. Items held by
-    many keys make many pairs; callers pass the few best items of each key.
+    many keys make many pairs; up to ``BROADCAST_ITEMS`` items of all sets, these are
+    counted where the one key's items lie, and no pair is shuffled.
     """
-    s = sets.select(F.col(key).alias("k"), F.col(item).alias("i")).distinct()
-    size = s.groupBy("k").agg(F.sum(F.length("i")).alias("len"))
-    pairs = s.alias("x").join(s.alias("y"), (F.col("x.i") == F.col("y.i")) & (F.col("x.k") < F.col("y.k"))).groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.sum(F.length("x.i")).alias("len"))
-    scored = pairs.join(size.select(F.col("k").alias("a"), F.col("len").alias("la")), "a").join(size.select(F.col("k").alias("b"), F.col("len").alias("lb")), "b")
-    return scored.withColumn("score", F.round(F.col("len") / F.least("la", "lb"), 6)).where((F.col("shared") >= least_shared) & (F.col("score") >= least)).select("a", "b", "shared", "score")
+    s = materialize(sets.select(F.col(key).alias("k"), F.col(item).alias("i")).distinct(), "sets")
+    sized = materialize(s.join(s.groupBy("k").agg(F.sum(F.length("i")).alias("l")), "k").where("k is not null and i is not null"), "sized-sets")
+    x, y = (sized.select(F.col("k").alias(side), "i", F.col("l").alias(f"l{side}")) for side in "ab")
+    if sized.count() <= BROADCAST_ITEMS:
+        n = sized.groupBy("i").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+        tasks = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        x, y = x.repartition(min(MOST_TASKS, max(tasks, n // TASK_PAIRS)), "a"), F.broadcast(y)
+    pairs = x.join(y, "i").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.length("i")).alias("len"), F.first("la").alias("la"), F.first("lb").alias("lb"))
+    scored = pairs.where(F.col("shared") >= least_shared).withColumn("score", F.round(F.col("len") / F.least("la", "lb"), 6))
+    return scored.where(F.col("score") >= least).select("a", "b", "shared", "score")
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

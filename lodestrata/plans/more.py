@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text
 from lodestrata.operators import graphs, lexical, sheets, structure, tools
-from lodestrata.plans.base import CHUNKS, QUESTIONS, SECTIONS, chunks, latest, query, questions, sections, sql, sql_path, sql_tokens, table
+from lodestrata.plans.base import CHUNKS, QUESTIONS, SECTIONS, chunks, chunks_in_place, latest, query, questions, sections, sql, sql_path, sql_tokens, table
 from lodestrata.plans.relational import C, J, R, S
 from lodestrata.plans.retrieval import POSTED, SCORED, _chunks, _index, _lines_of
 from lodestrata.sources import sinks
@@ -29,7 +29,7 @@ def posting_lookup(spark, sf_dir):
 
 @query("joi_14_keyword_peers", f"""WITH k AS (SELECT DISTINCT job_result_id AS r, unnest(from_json(chunk_metadata->'$.keywords', '["VARCHAR"]')) AS k FROM {CHUNKS} WHERE json_type(chunk_metadata, '$.keywords') = 'ARRAY') SELECT a.r AS a, b.r AS b, count(*) AS shared FROM k a JOIN k b ON a.k = b.k AND a.r < b.r GROUP BY ALL""")
 def keyword_peers(spark, sf_dir):
-    s = chunks(spark, sf_dir).select("job_result_id", F.explode(F.from_json(F.get_json_object("chunk_metadata", "$.keywords"), "array<string>")).alias("keyword"))
+    s = chunks_in_place(spark, sf_dir).select("job_result_id", F.explode(F.from_json(F.get_json_object("chunk_metadata", "$.keywords"), "array<string>")).alias("keyword"))
     return graphs.overlaps(s, "job_result_id", "keyword", 0.0, 1).select("a", "b", "shared")
 
 
