@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scoring, text
 from lodestrata.operators import graphs, trees
-from lodestrata.plans.base import CHUNKS, SECTIONS, chunks, query, sections, sql_path, sql_tokens, table
+from lodestrata.plans.base import CHUNKS, SECTIONS, chunks, chunks_in_place, query, sections, sql_path, sql_tokens, table
 
 #: The three-level tree region / nation / customer.
 TREE = "tree AS (SELECT r_name AS scope, r_name AS path, 0.0 AS score FROM region UNION ALL SELECT r_name, r_name || ' / ' || n_name, 0.0 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, r_name || ' / ' || n_name || ' / ' || c_name, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
@@ -93,7 +93,7 @@ def keywords(spark, sf_dir):
 @query("set_04_cor_19_document_graph", f"""WITH s AS (SELECT DISTINCT job_result_id AS k, keyword AS i FROM (SELECT job_result_id, unnest(from_json(chunk_metadata->'$.keywords', '["VARCHAR"]')) AS keyword FROM {CHUNKS} WHERE json_type(chunk_metadata, '$.keywords') = 'ARRAY')), z AS (SELECT k, sum(length(i)) AS len FROM s GROUP BY k)
 SELECT a, b, shared, round(len / least(la, lb), 6) AS score FROM (SELECT x.k AS a, y.k AS b, count(*) AS shared, sum(length(x.i)) AS len FROM s x JOIN s y ON x.i = y.i AND x.k < y.k GROUP BY ALL) JOIN (SELECT k AS a, len AS la FROM z) USING (a) JOIN (SELECT k AS b, len AS lb FROM z) USING (b) WHERE shared >= 2 AND round(len / least(la, lb), 6) >= 0.8""")
 def document_graph(spark, sf_dir):
-    s = chunks(spark, sf_dir).select("job_result_id", F.explode(F.from_json(F.get_json_object("chunk_metadata", "$.keywords"), "array<string>")).alias("keyword"))
+    s = chunks_in_place(spark, sf_dir).select("job_result_id", F.explode(F.from_json(F.get_json_object("chunk_metadata", "$.keywords"), "array<string>")).alias("keyword"))
     return graphs.overlaps(s, "job_result_id", "keyword", 0.8, 2)
 
 
