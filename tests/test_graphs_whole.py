@@ -12,3 +12,11 @@ def test_overlaps_are_counted_without_shuffling_pairs(spark, monkeypatch):
     here = {tuple(r) for r in found.collect()}
     monkeypatch.setattr(G, "BROADCAST_ITEMS", 0)
     assert here and here == {tuple(r) for r in G.overlaps(sets, "k", "i", 0.2, 2).collect()}
+
+
+def test_edges_of_components_are_written_before_the_rounds(spark, monkeypatch):
+    written, keep = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, label="step": written.append(label) or keep(df, label))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a int, b int")
+    assert {tuple(r) for r in G.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert written[0] == "edges"
