@@ -56,11 +56,11 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     least one, until nothing changes; about log(size) rounds, no node needs all
     its neighbours in one place, as only minima and new edges are formed.
     """
-    e = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null")
+    # written before the rounds: each reads it several times, and its plan would stand in theirs as often
+    e = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null").distinct(), "edges")
     every = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node")))
     every = (every if nodes is None else every.union(nodes.select("node"))).distinct()
-    # written before the rounds: each reads it several times, and its plan would stand in theirs as often
-    now, seen = materialize(e.where("u <> v").distinct(), "edges"), None
+    now, seen = e.where("u <> v"), None
     while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

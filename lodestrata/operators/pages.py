@@ -6,16 +6,22 @@ ancestor paths, never by comparing all nodes of a scope.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
 from lodestrata.operators import graphs, trees
+from lodestrata.session import materialize
 
 #: Runs of so many pages with the same hits are running lines (fixed value).
 LEAST_RUN = 2
 #: Pages of a bucket when page spans are joined.
 BUCKET = 16
+#: A scope of more boxes is swept in strips; a sweep writes out the ties it holds beyond so many.
+SWEPT_WHOLE, HELD = 20_000, 200_000
 
 
 def _below(nodes: DataFrame, *columns: str) -> DataFrame:
@@ -92,19 +98,76 @@ def without_running_lines(hits: DataFrame, least: int = LEAST_RUN) -> DataFrame:
     return hits.join(runs.where(F.col("n") >= least).select("scope", "page"), ["scope", "page"], "left_anti")
 
 
+def _ties(batches: Iterator[pa.RecordBatch], gap: float, held: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of boxes (scope, strip, id, x0, y0, x1, y1) in order of scope, strip and y0: each box with the least id of its cluster so far, so one tie a box at most.
+
+    Open boxes are those that the next ones may still reach, without those that another of the same cluster covers; only they are compared.
+    """
+    above: dict = {}
+    place, open_ = None, []
+
+    def top(x):
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    def ties() -> list:
+        out = [(x, top(x)) for x in above]
+        above.clear()
+        return out
+
+    schema = None
+    for batch in batches:
+        schema, out = pa.schema([("a", batch.schema.field("id").type), ("b", batch.schema.field("id").type)]), []
+        for scope, strip, i, x0, y0, x1, y1 in zip(*(batch.column(c).to_pylist() for c in ("scope", "strip", "id", "x0", "y0", "x1", "y1"))):
+            if place != (scope, strip):
+                out += ties()
+                place, open_ = (scope, strip), []
+            elif len(above) > held:
+                # what is still open goes on by its cluster's least id
+                open_ = [(top(k), *box) for k, *box in open_]
+                out += ties()
+            own, reached, covered = top(i), [], False
+            for box in open_:
+                k, a0, b0, a1, b1 = box
+                if y0 - gap > b1:
+                    continue
+                if a0 - gap <= x1 and x0 - gap <= a1 and b0 - gap <= y1:
+                    if (other := top(k)) != own:
+                        own, other = (own, other) if own < other else (other, own)
+                        above[other] = own
+                    if x0 <= a0 and a1 <= x1 and b1 <= y1:
+                        continue
+                    covered = covered or (a0 <= x0 and x1 <= a1 and y1 <= b1)
+                reached.append(box)
+            open_ = reached if covered else [*reached, (i, x0, y0, x1, y1)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+    if above:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ties()), schema.types)], schema=schema)
+
+
 def cluster_boxes(boxes: DataFrame, gap: int) -> DataFrame:
     """(node, component): boxes (scope, id, x0, y0, x1, y1) that lie within ``gap`` of each other, directly or over others.
 
-    Boxes are spread over the cells of a grid of side ``gap``; only boxes of a common cell are compared.
+    Each scope is swept from its least y on, which ties every box to one of its cluster, not to all near it. A scope of
+    more than ``SWEPT_WHOLE`` boxes is swept in strips of x as wide as its boxes are on average: three rows a box
+    on average at most, whatever the boxes' sizes. Boxes without a scope or a coordinate are alone.
     """
-    cell = max(gap, 1)
-    steps = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
-    own = boxes.withColumn("cx", F.explode(steps(F.col("x0"), F.col("x1")))).withColumn("cy", F.explode(steps(F.col("y0"), F.col("y1"))))
-    wide = boxes.withColumn("cx", F.explode(steps(F.col("x0") - gap, F.col("x1") + gap))).withColumn("cy", F.explode(steps(F.col("y0") - gap, F.col("y1") + gap)))
-    of = lambda d, side: d.select("scope", "cx", "cy", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "x0", "y0", "x1", "y1")))
-    near = (F.col("x0_a") - gap <= F.col("x1_b")) & (F.col("x0_b") - gap <= F.col("x1_a")) & (F.col("y0_a") - gap <= F.col("y1_b")) & (F.col("y0_b") - gap <= F.col("y1_a"))
-    edges = of(own, "a").join(of(wide, "b"), ["scope", "cx", "cy"]).where((F.col("id_a") < F.col("id_b")) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    return graphs.components(edges, boxes.select(F.col("id").alias("node")))
+    held = HELD
+    boxes = materialize(boxes, "boxes")
+    placed = boxes.dropna().select("scope", "id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    sizes = placed.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("x1") - F.col("x0")) + max(2 * gap, 1)).alias("width")).where(F.col("n") > SWEPT_WHOLE).select("scope", "width")
+    large = materialize(sizes, "large-scopes")
+    if large.isEmpty():
+        strips = placed.withColumn("strip", F.lit(0).cast("bigint"))
+    else:
+        within = F.sequence(F.floor((F.col("x0") - gap) / F.col("width")), F.floor(F.col("x1") / F.col("width")))
+        strips = placed.join(large, "scope", "left").withColumn("strip", F.explode(F.when(F.col("width").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(within))).drop("width")
+    swept = strips.repartition("scope", "strip").sortWithinPartitions("scope", "strip", "y0")
+    kind = boxes.schema["id"].dataType.simpleString()
+    ties = swept.mapInArrow(lambda batches: _ties(batches, gap, held), f"a {kind}, b {kind}")
+    return graphs.components(ties, boxes.select(F.col("id").alias("node")))
 
 
 def unique_paths(rows: DataFrame) -> DataFrame:
