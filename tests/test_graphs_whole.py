@@ -1,6 +1,10 @@
+import os
 import random
 
+import pytest
+
 from lodestrata.operators import graphs as G
+from lodestrata.plans import registry
 
 
 def test_overlaps_are_counted_without_shuffling_pairs(spark, monkeypatch):
@@ -65,3 +69,13 @@ def test_sets_without_characters_share_too(spark):
     sets = spark.createDataFrame([("a", ""), ("b", ""), ("b", "x")], "k string, i string")
     assert [tuple(r) for r in G.overlaps(sets, "k", "i", 0.0, 1).collect()] == [("a", "b", 1, None)]
     assert G.overlaps(sets, "k", "i", 0.5, 1).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_document_graph_over_blocks(spark, monkeypatch):
+    query = registry.queries()["set_04_cor_19_document_graph"]
+    here = query(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(G, "BROADCAST_ITEMS", 0)
+    met = query(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted(here) == sorted(met.collect()) and here
